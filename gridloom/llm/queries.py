@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digest_windows, format_conversations
 from .common import read_table
+from .decontaminate import build_index, phrase_hits
+from .html import extract_pages
+from .language import fit, identify, page_rows
 from .licenses import scan_licenses
 from .packing import pack_documents
 from .quality import quality_report
@@ -29,6 +32,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit(read_table(spark, sf_dir, "documents"))
+    return identify(page_rows(read_table(spark, sf_dir, "pages")), model, markup=True).withColumnRenamed("id", "page_id")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_hits(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +60,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op2_url_filter, op3_license_scan, op9_quality_rules, op10_best_fit_packing)
+    f.__name__: f for f in (op1_chat_windows, op2_url_filter, op3_license_scan, op5_language_id, op6_html_extraction, op8_decontamination, op9_quality_rules, op10_best_fit_packing)
 }
 ORACLES: dict[str, str] = {}
