@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a Python worker turns into Python objects at a time.
@@ -78,3 +78,20 @@ def map_chunks(df: DataFrame, ddl: str, fn: Callable[[list[list]], list], rows:
 def lowered(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z lower-cased and nothing else changed."""
     return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+#: Ids that may be broadcast at once: 8 bytes each, some 100 MB as a hash table.
+MAX_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (one column, of few ids as a rule).
+
+    The ids are broadcast only if their number is under ``MAX_IDS``; beyond it both
+    sides are shuffled. Rows with a null doc_id go if a null is among the ids.
+    """
+    name = "__gl_gone"
+    gone = stored(ids.select(F.col(ids.columns[0]).cast("bigint").alias(name)).distinct(), "gone")
+    if gone.limit(MAX_IDS + 1).count() <= MAX_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone[name]), "left_anti")

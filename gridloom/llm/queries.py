@@ -12,6 +12,7 @@ from .decontaminate import build_index, phrase_hits
 from .html import extract_pages
 from .language import fit, identify, page_rows
 from .licenses import scan_licenses
+from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_report
 from .urls import filter_urls
@@ -32,6 +33,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(read_table(spark, sf_dir, "documents"))
     return identify(page_rows(read_table(spark, sf_dir, "pages")), model, markup=True).withColumnRenamed("id", "page_id")
@@ -60,6 +65,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op2_url_filter, op3_license_scan, op5_language_id, op6_html_extraction, op8_decontamination, op9_quality_rules, op10_best_fit_packing)
+    f.__name__: f for f in (op1_chat_windows, op2_url_filter, op3_license_scan, op4_near_duplicates, op5_language_id, op6_html_extraction, op8_decontamination, op9_quality_rules, op10_best_fit_packing)
 }
 ORACLES: dict[str, str] = {}
