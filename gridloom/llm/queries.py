@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digest_windows, format_conversations
 from .common import read_table
+from .ctw import score_documents
 from .decontaminate import build_index, phrase_hits
 from .html import extract_pages
 from .language import fit, identify, page_rows
@@ -46,6 +47,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_hits(build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +70,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op2_url_filter, op3_license_scan, op4_near_duplicates, op5_language_id, op6_html_extraction, op8_decontamination, op9_quality_rules, op10_best_fit_packing)
+    f.__name__: f for f in (op1_chat_windows, op2_url_filter, op3_license_scan, op4_near_duplicates, op5_language_id, op6_html_extraction, op7_lm_scoring, op8_decontamination, op9_quality_rules, op10_best_fit_packing)
 }
 ORACLES: dict[str, str] = {}
