@@ -1,14 +1,18 @@
-"""All queries of the array engine, by name, with their SQL."""
+"""All queries of the array engine, by name, with their SQL.
+
+Element-wise functions are registered from tables of (Column, SQL) pairs over one
+projection each; everything else is a small function with its SQL beside it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "axis_summary"
+FLAGSHIP = "reduce_by_group"
 
 
 def query(sql: str | None = None):
@@ -23,8 +27,31 @@ def query(sql: str | None = None):
     return put
 
 
-@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS sum_qty, count(*) AS n
-FROM lineitem GROUP BY l_returnflag, l_linestatus""")
-def axis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 4).alias("sum_qty"), F.count("*").alias("n"))
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def number(value: Column) -> Column:
+    """Doubles are compared to six places; adding 0.0 makes -0.0 plain."""
+    return F.round(value, 6) + F.lit(0.0)
+
+
+def projection(name: str, table: str, key: str, values: dict[str, str], column: Callable[[], Column], sql: str, kind: str = "double") -> None:
+    """A query ``key, value`` of one Column function over named inputs of a table.
+
+    ``values`` gives the inputs as SQL that Spark and DuckDB read alike.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = read(spark, sf_dir, table).selectExpr(key, *(f"{e} as {n}" for n, e in values.items()))
+        out = column()
+        return base.select(key, (number(out) if kind == "double" else out).alias("value"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    inputs = ", ".join(f"{e} AS {n}" for n, e in values.items())
+    value = f"round({sql}, 6) + 0.0" if kind == "double" else sql
+    ORACLES[name] = f"SELECT {key}, {value} AS value FROM (SELECT {key}, {inputs} FROM {table})"
+
+
+from . import arrays, elementwise, groups  # noqa: E402,F401  they register their queries
