@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -75,6 +77,14 @@ def map_chunks(df: DataFrame, ddl: str, fn: Callable[[list[list]], list], rows:
     return df.mapInArrow(run, ddl)
 
 
+def in_worker(name: str, make: Callable):
+    """What ``make()`` gave in this Python process under ``name``: kept from task to task."""
+    held = sys.modules.setdefault("__gridloom_worker__", types.ModuleType("__gridloom_worker__")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def lowered(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z lower-cased and nothing else changed."""
     return (text or "").encode("utf-8", "surrogatepass").lower()

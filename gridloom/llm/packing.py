@@ -20,30 +20,36 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, map_chunks
+from .common import arrow_schema, in_worker, map_chunks
 
 CAPACITY = 2048
 #: Bytes of text for each packing part (it holds tens of thousands of pieces).
 PART_CHARS = 256 << 20
 #: Distinct words whose ids a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
+#: White space other than the space and the line feed.
+ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 class Encoder:
     """Ids of texts by ``tokenizers``, with the ids of seen words kept.
 
     A byte-level BPE with the usual split pattern never merges across a single
     space in front of a word, so a text is cut there and equal parts are encoded
-    once. Texts that hold the string of a special token are encoded whole.
+    once. Texts that hold the string of a special token are encoded whole. Parts are
+    kept in two generations of at most ``CACHE_WORDS``, so frequent ones stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,38 +59,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [pa.array(x.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(x.ids)] if x.ids else b"" for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, text: str) -> list[str]:
+        """The text in parts that are encoded alone; all but the first without the space in front of them."""
+        parts = text.split(" ")
+        if "" not in parts and "\n " not in text and " \n" not in text and not any(c in text for c in ODD_SPACE):
+            return parts
+        # white space beside a space: the pattern looks across it, so such parts stay joined
+        out = [parts[0]]
+        for p in parts[1:]:
+            if out[-1] and not out[-1][-1].isspace() and p and not p[0].isspace():
+                out.append(p)
+            else:
+                out[-1] += " " + p
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, cut, whole = self.known, [], {}
-        for k, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                whole[k] = text
-                cut.append([])
-                continue
-            parts, held = [], ""
-            words = text.split(" ")
-            if "" in words or not text.isascii() and any(w[0].isspace() or w[-1].isspace() for w in words) or text[:1].isspace() or any(w[0] in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" or w[-1] in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for w in words):
-                # white space beside a space: the pattern looks across it, so such words stay joined
-                joined = words[0]
-                for w in words[1:]:
-                    if joined and not joined[-1].isspace() and w and not w[0].isspace():
-                        parts.append(held + joined)
-                        held, joined = " ", w
-                    else:
-                        joined += " " + w
-                parts.append(held + joined)
-            else:
-                parts = [words[0], *[" " + w for w in words[1:]]]
-            cut.append(parts)
-        new = list({p for parts in cut for p in parts if p not in known})
-        known.update(zip(new, self._encode(new)))
-        out = [b"".join([known[p] for p in parts]) for parts in cut]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        whole = {k: t for k, t in enumerate(texts) if any(s in t for s in self.special)}
+        cut = [[] if k in whole else self._parts(t) for k, t in enumerate(texts)]
+        new = set().union(*cut).difference(known)
+        if older:
+            for part in [p for p in new if p in older]:
+                known[part] = older[part]
+            new = new.difference(known)
+        new = list(new)
+        known.update(zip(new, self._encode([" " + p for p in new])))
+        firsts = self._encode([parts[0] if parts else "" for parts in cut])
+        out = [first + b"".join([known[p] for p in parts[1:]]) for first, parts in zip(firsts, cut)]
         for k, ids in zip(whole, self._encode(list(whole.values()))):
             out[k] = ids
         return out
@@ -92,14 +101,12 @@ class Encoder:
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """The pieces of every document with the checksum of their ids."""
-    made: list[Encoder] = []
     end = end_id.to_bytes(4, "little")
 
     def cut(columns: list[list]) -> list[list]:
-        if not made:
-            made.append(Encoder(tokenizer_path))
+        encoder = in_worker(f"encoder {tokenizer_path}", lambda: Encoder(tokenizer_path))
         rows = []
-        for doc, ids in zip(columns[0], made[0]([t or "" for t in columns[1]])):
+        for doc, ids in zip(columns[0], encoder([t or "" for t in columns[1]])):
             ids += end
             n, at, piece = len(ids) // 4, 0, 0
             while at < n:
