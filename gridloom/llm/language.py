@@ -88,10 +88,10 @@ def score_text(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: boo
             letters = len(found)
             means.append(sent.value[found].sum(axis=0, dtype=np.float64) / letters if letters > 2 else np.zeros(len(langs)))
             sizes.append(letters if letters > 2 else 0)
-        domains = [".".join((h or "").split(".")[-2:]) for h in hosts]
+        domains = [".".join(h.split(".")[-2:]) if h else None for h in hosts]
         suffix = [SUFFIXES.get((a or "").rpartition(".")[2].lower()) for a in address]
         declared = [(d or "").strip().lower().replace("_", "-").split("-")[0] or None for d in declared]
-        return [ids, [h or "" for h in hosts], domains, declared, suffix, [m.tolist() for m in means], sizes]
+        return [ids, [h or None for h in hosts], domains, declared, suffix, [m.tolist() for m in means], sizes]
 
     ddl = "id bigint, host string, domain string, declared string, suffix string, means array<double>, n bigint"
     return map_chunks(rows.select("id", "text", "declared", "address", "host"), ddl, score)
@@ -103,7 +103,7 @@ def _choice(langs: list[str], scores: Column) -> Column:
 
 def host_priors(scored: DataFrame, langs: list[str]) -> DataFrame:
     """host and its smoothed prior: log probabilities in order of ``langs``."""
-    first = scored.filter("n > 0").select("host", "domain", _choice(langs, F.col("means")).alias("choice"))
+    first = scored.filter("n > 0 and host is not null").select("host", "domain", _choice(langs, F.col("means")).alias("choice"))
     counts = [F.count_if(F.col("choice") == x).alias(f"c{k}") for k, x in enumerate(langs)]
     sums = [F.sum(f"c{k}").alias(f"c{k}") for k in range(len(langs))]
     hosts = first.groupBy("host", "domain").agg(*counts)
