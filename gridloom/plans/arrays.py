@@ -144,7 +144,7 @@ for _name, _build, _sql in (
     ("rfftfreq", lambda s, a: fourier.rfftfreq(s, 8), "SELECT CAST(i AS BIGINT) AS i0, $V(i / 8.0)V$ AS v FROM range(5) g(i)"),
 ):
     # products of the three-place cells end in ties at three places
-    _register(_name, _build, _sql, 6 if _name in ("convolve", "gradient", "trapezoid") else 3)
+    _register(_name, _build, _sql, 6 if _name in ("convolve", "gradient", "trapezoid", "fft_real") else 3)
 
 
 def _spd(s: SparkSession, a: Array) -> Array:

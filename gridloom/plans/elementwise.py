@@ -65,7 +65,7 @@ UNARY = {
     "modf_fraction": (lambda: m.modf("x")["fraction"], "x - trunc(x)"),
     "frexp_mantissa": (lambda: m.frexp("n")["mantissa"], "CASE WHEN n = 0 THEN 0.0 ELSE n / pow(2.0, floor(log2(n)) + 1) END"),
     "spacing": (lambda: m.log2(m.spacing("n")), "CASE WHEN n = 0 THEN -1074.0 ELSE floor(log2(n)) - 52 END"),
-    "i0": (lambda: m.i0("u"), "list_sum([pow(u * u / 4, i) / pow(list_product(range(1, i + 1)), 2) FOR i IN range(0, 12)])"),
+    "i0": (lambda: m.i0("u"), "1.0 + list_sum([pow(u * u / 4, i) / pow(list_product(range(1, i + 1)), 2) FOR i IN range(1, 12)])"),
     "emath_sqrt": (lambda: cx.imag(cx.sqrt("x")), "CASE WHEN x < 0 THEN sqrt(-x) ELSE 0.0 END"),
     "emath_log": (lambda: cx.real(cx.log("x")) + cx.imag(cx.log("x")), f"CASE WHEN x = 0 THEN -{_INF} ELSE ln(abs(x)) + CASE WHEN x < 0 THEN pi() ELSE 0 END END"),
     "emath_log2": (lambda: cx.imag(cx.log2("x")), "CASE WHEN x < 0 THEN pi() / ln(2) ELSE 0.0 END"),
@@ -229,7 +229,7 @@ _DATES = {
     ),
     "busday_offset": (
         lambda: dates.busday_offset("d", F.col("k") + 1, _CALENDAR),
-        f"CAST((SELECT r FROM range((d + 1)::TIMESTAMP, (d + 90)::TIMESTAMP, INTERVAL 1 DAY) AS g(r) WHERE {_WORKS} ORDER BY r LIMIT 1 OFFSET k) AS DATE)",
+        f"CAST((SELECT list(r ORDER BY r) FROM range((d + 1)::TIMESTAMP, (d + 90)::TIMESTAMP, INTERVAL 1 DAY) AS g(r) WHERE {_WORKS})[k + 1] AS DATE)",
     ),
 }
 for _name, (_column, _sql) in _DATES.items():
