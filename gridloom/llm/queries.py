@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .chat import digest_windows, format_conversations
 from .common import read_table
 from .ctw import score_documents
@@ -72,4 +73,4 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_windows, op2_url_filter, op3_license_scan, op4_near_duplicates, op5_language_id, op6_html_extraction, op7_lm_scoring, op8_decontamination, op9_quality_rules, op10_best_fit_packing)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
