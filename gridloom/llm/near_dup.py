@@ -13,9 +13,11 @@ least ``percent`` * union, confirmed on full sets.
    pair just at the limit, far lower else), so hot lists are not needed for it.
 3. The other, saturated sets are indexed on full shingles by prefix filtering:
    with shingles ordered by how many saturated sets have them, linked sets share one
-   of the first (1 - limit) * n + 1. Lists beyond ``CAP`` here hold only near copies
-   of one text: members are compared with a pivot, which links most of them; pairs
-   that are still in different components after that are all compared.
+   of the first (1 - limit) * n + 1. Lists beyond ``CAP`` here hold near copies of one
+   text. Two sets that meet in such lists only share none of their rare shingles, so
+   the number of the others bounds their intersection; pairs that this rules out are
+   never made. Members are compared with a pivot, the one with the least share of
+   rare shingles; pairs still in different components after that are all compared.
 4. The union-sketch estimate drops pairs far below the limit (``MARGIN`` is six
    standard deviations at the limit), and exact Jaccard on full sets decides. First
    every set is compared with its least candidate, then pairs across components.
@@ -37,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import map_chunks, stored
+from .common import map_chunks, stored, without
 
 K, CAP, PERCENT, WORDS = 32, 32, 85, 5
 MARGIN = 0.38
@@ -212,7 +214,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = seen
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")
-    return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+    ends = now.select(F.col("b").alias("id"), "a").union(now.select("a", "a"))
+    return ends.groupBy("id").agg(F.min("a").alias("component"))
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,11 +238,10 @@ def near_links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, words:
 
     saturated = postings.filter(F.col("df") > cap).groupBy("id").agg(F.count("*").alias("hot"), F.max("kept").alias("kept"))
     saturated = stored(saturated.filter(2 * F.col("hot") > F.col("kept")).select("id"), "saturated")
-    prefix = stored(_prefix_postings(full_sets(docs, saturated, words), percent), "prefix")
+    prefix = stored(_prefix_postings(full_sets(docs, saturated, words), percent, cap), "prefix")
     short = _list_pairs(prefix.filter((F.col("df") <= cap) & (F.col("df") > 1)), percent)
-    hot = prefix.filter(F.col("df") > cap).select("v", "id", "n")
-    pivots = hot.groupBy("v").agg(F.min("id").alias("a"))
-    stars = hot.join(pivots, "v").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    hot = prefix.filter(F.col("df") > cap).select("v", "id", "n", "common")
+    stars = _stars(hot, hot, percent)
 
     sure = stored(cold.union(_estimated(short, sets, percent, k)).union(_estimated(stars, sets, percent, k)).distinct(), "pairs")
     ids = stored(sure.select(F.col("a").alias("id")).union(sure.select("b")).union(hot.select("id")).distinct(), "ids")
@@ -267,16 +269,31 @@ def _apart(hot: DataFrame, labels: DataFrame, every: bool, percent: int) -> Data
     # the largest part of a list is its first component here; what is outside it meets its members
     outside = mixed.filter("component <> low")
     if not every:
-        heads = outside.groupBy("v").agg(F.min("id").alias("a"))
-        pairs = mixed.join(heads, "v").filter("id <> a")
-        return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    left = outside.select("v", F.col("id").alias("x"), F.col("n").alias("m"), F.col("component").alias("c"))
-    pairs = mixed.join(left, "v").filter((F.col("component") != F.col("c")) & (F.greatest("n", "m") * percent <= F.least("n", "m") * 100))
+        return _stars(mixed, outside, percent)
+    left = outside.select("v", F.col("id").alias("x"), F.col("n").alias("m"), F.col("common").alias("shared"), F.col("component").alias("c"))
+    pairs = mixed.join(left, "v").filter((F.col("component") != F.col("c")) & _may_link("n", "common", "m", "shared", percent))
     return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
-def _prefix_postings(full: DataFrame, percent: int) -> DataFrame:
-    """v, id, n, df for the first shingles of each set, rarest first."""
+def _may_link(n: str, common: str, m: str, shared: str, percent: int) -> Column:
+    """Whether sets of n and m shingles can be linked by their common ones alone."""
+    return (100 + percent) * F.least(common, shared) >= percent * (F.col(n) + F.col(m))
+
+
+def _stars(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Each list's members paired with its head that has the least share of rare shingles."""
+    rare = F.struct((1 - F.col("common") / F.col("n")).alias("rare"), "id")
+    best = heads.groupBy("v").agg(F.min_by(F.struct("id", "n", "common"), rare).alias("p"))
+    best = best.select("v", F.col("p.id").alias("x"), F.col("p.n").alias("m"), F.col("p.common").alias("shared"))
+    pairs = members.join(best, "v").filter((F.col("id") != F.col("x")) & _may_link("n", "common", "m", "shared", percent))
+    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+
+def _prefix_postings(full: DataFrame, percent: int, cap: int) -> DataFrame:
+    """v, id, n, df for the first shingles of each set, rarest first.
+
+    ``common`` is the number of the set's shingles that more than ``cap`` sets have.
+    """
 
     def unpack(columns: list[list]) -> list:
         values = [np.frombuffer(b, np.int64) for b in columns[2]]
@@ -287,7 +304,9 @@ def _prefix_postings(full: DataFrame, percent: int) -> DataFrame:
     ranked = tokens.withColumn("df", F.count("*").over(Window.partitionBy("v")))
     place = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "v"))
     # n - ceil(limit * n) + 1 places, in whole numbers
-    return ranked.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("v", "id", "n", "df")
+    common = F.sum((F.col("df") > cap).cast("bigint")).over(Window.partitionBy("id", "n"))
+    ranked = ranked.withColumns({"place": place, "common": common})
+    return ranked.filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("v", "id", "n", "df", "common")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, k: int = K, cap: int = CAP) -> DataFrame:
@@ -308,3 +327,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, **params: int) -> DataFrame:
+    """``docs`` with one row of each component: of repeated rows of the kept id, one stays."""
+    judged = stored(near_duplicates(docs, **params), "judged")
+    left = without(docs, judged.filter("not kept").select("doc_id"))
+    again = stored(judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    name = "__gl_again"
+    once = left.join(_small(again.withColumnRenamed("doc_id", name)), left["doc_id"].cast("bigint") == F.col(name), "left_semi")
+    return without(left, again).unionByName(once.dropDuplicates(["doc_id"]))
