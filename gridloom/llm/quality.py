@@ -136,7 +136,11 @@ def clean(docs: DataFrame, text_col: str = "text", **params: float) -> DataFrame
 
     A column ``n_chars`` is brought up to date where there is one.
     """
-    df = verdicts(docs, text_col, **params).filter(f"{_PRE}kept").withColumn(text_col, F.col(f"{_PRE}clean"))
+    # a column that is not deterministic keeps the filter above the verdict: pushed below, it
+    # would repeat the whole computation inside every lambda
+    fence = F.col(f"{_PRE}fence") >= 0
+    judged = verdicts(docs, text_col, **params).withColumn(f"{_PRE}fence", F.monotonically_increasing_id())
+    df = judged.filter(F.col(f"{_PRE}kept") & fence).withColumn(text_col, F.col(f"{_PRE}clean"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return df.select(*(F.col(f"`{c}`") for c in docs.columns))

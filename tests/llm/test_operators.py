@@ -189,6 +189,14 @@ def test_near_duplicates_odd_ids(spark):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_deduplicated_rows(spark):
+    text = "a b c d e f g"
+    rows = [(5, text, "x"), (5, text, "x"), (7, text, "y"), (None, text, "z"), (8, "quite other words stand here", "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n string")
+    got = sorted(((r.doc_id, r.n) for r in near_dup.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(5, "x"), (8, "z"), (None, "z")], key=str)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]
