@@ -32,7 +32,7 @@ FURNITURE = frozenset("nav header footer aside form button dialog menu".split())
 #: Parts of class names and ids that mark furniture.
 HINTS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header menu modal nav navbar "
-    "navigation newsletter notice pagination popup promo promoted recommended related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "navigation newsletter alert consent gdpr notice pagination popup promo promoted recommended related replies reply share sharing sidebar signup social sponsor sponsored subscribe toc toolbar widget".split()
 )
 #: Elements that hold other blocks, and those that only end a block.
 CONTAINERS = frozenset("html body main article section div ul ol dl table tbody thead tfoot tr td th figure fieldset details center blockquote".split()) | FURNITURE
@@ -65,19 +65,27 @@ class Node:
         self.score = 0.0
 
 
+def _named(attributes: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)} if attributes else {}
+
+
+def _hints(attributes: str) -> set[str]:
+    return HINTS.intersection(_PARTS.findall(" ".join(_named(attributes).values()).lower()))
+
+
 def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """Blocks (container, text) in page order without furniture, and all containers."""
     root = Node("", "", None, False)
     root.path = ""
     nodes, stack, blocks = [root], [root], []
     held: list[str] = []
-    linked, in_link, at = 0, False, 0
+    linked, in_link, muted, at = 0, False, False, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(held).split())
         held.clear()
-        if text and not stack[-1].skip:
+        if text and not stack[-1].skip and not muted:
             blocks.append((stack[-1], text))
             worth, node = max(0.0, len(text) - 2 * linked), stack[-1]
             share = 1.0
@@ -100,6 +108,8 @@ def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         closing, attributes = found[1] or found[4], found[3] or found[6] or ""
         if name in BREAKS:
             flush()
+            if name != "br":  # a paragraph or heading may be furniture by its own names
+                muted = not closing and name not in CONTAINERS and bool(attributes) and bool(_hints(attributes))
         if name == "a":
             in_link = not closing
         elif name in RAW and not closing and not attributes.endswith("/"):
@@ -113,7 +123,7 @@ def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                         del stack[k:]
                         break
             else:
-                named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)} if attributes else {}
+                named = _named(attributes)
                 node = Node(name, f"{named.get('class', '')} {named.get('id', '')} {named.get('role', '')}", stack[-1], stack[-1].skip or "hidden" in named)
                 nodes.append(node)
                 stack.append(node)

@@ -246,7 +246,7 @@ def test_language_edges(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title></head><body><header>head</header><nav><a href="/">menu</a></nav>
 <div class="sidebar">side <p>more</p></div><article class="post-12"><h1>T &amp; U</h1><p>one\n two&nbsp;&eacute; <b>bold</b><br>three
-<div class="cookie-notice">cookies</div><form>f <input></form><script>var a="</p>";</script><p>four <a href=x>link</a>
+<div class="cookie-notice">cookies</div><p class="advert">buy<br>now</p><form>f <input></form><script>var a="</p>";</script><p>four <a href=x>link</a>
 <section id="comments"><p>reader</p></section></article><footer>&copy;</footer></body></html>"""
 
 
