@@ -58,9 +58,12 @@ def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[list[str], np.ndar
     sample = sample.orderBy(F.xxhash64("text", "lang"), "lang", "text").limit(max_fit)
 
     def count(columns: list[list]) -> list[list]:
-        return [columns[1], [np.bincount(trigrams(t), minlength=BINS).astype(np.int32).tobytes() for t in columns[0]]]
+        sums: dict[str, np.ndarray] = {}
+        for text, lang in zip(*columns):
+            sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(text), minlength=BINS).astype(np.int32)
+        return [list(sums), [s.tobytes() for s in sums.values()]]
 
-    # a language's counts are added in a task; the result is an array of bins for each
+    # a few arrays of bins for each language come to the driver
     total: dict[str, np.ndarray] = {}
     for lang, counts in map_chunks(sample, "lang string, counts binary", count).toLocalIterator():
         total[lang] = total.get(lang, np.zeros(BINS)) + np.frombuffer(bytes(counts), np.int32)
