@@ -248,16 +248,24 @@ def near_links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, words:
     full = stored(full_sets(docs, ids, words).dropDuplicates(["id", "shingles"]), "sets")
 
     links = stored(_verified(_first_partner(sure), full, percent), "links")
-    links = stored(links.union(_verified(_across(sure, components(links)), full, percent)), "links")
     labels = stored(components(links), "labels")
+
+    def joined(pairs: DataFrame) -> None:
+        """Confirm pairs across components and bring the labels up to date."""
+        nonlocal links, labels
+        more = stored(_verified(pairs, full, percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = stored(components(links), "labels")
+
+    joined(_across(sure, labels))
     # members of hot lists that are still apart: another pivot for each component, then all pairs
     for last in (False, True):
         apart = _apart(hot, labels, last, percent)
         apart = stored(_estimated(_across(apart, labels), sets, percent, k), "pairs")
         if apart.isEmpty():
             break
-        links = stored(links.union(_verified(apart, full, percent)), "links")
-        labels = stored(components(links), "labels")
+        joined(apart)
     return labels
 
 
