@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -73,10 +74,19 @@ def map_chunks(df: DataFrame, ddl: str, fn: Callable[[list[list]], list], rows:
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema
                 )
+        release_memory()
 
     return df.mapInArrow(run, ddl)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker waits for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def in_worker(name: str, make: Callable):
     """What ``make()`` gave in this Python process under ``name``: kept from task to task."""
     held = sys.modules.setdefault("__gridloom_worker__", types.ModuleType("__gridloom_worker__")).__dict__

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import ALNUM_WORD, arrow_schema, lowered, shared_dir
+from .common import ALNUM_WORD, arrow_schema, lowered, release_memory, shared_dir
 
 WINDOW = 13
 #: Words of a shard, places between documents, and bytes of test text in a broadcast.
@@ -98,6 +98,8 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                         shard, n = _Shard(), n + 1
         if shard.docs:
             yield done()
+        shard = None
+        release_memory()
 
     spark = docs.sparkSession
     index = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, INDEX)

@@ -33,7 +33,7 @@ CAPACITY = 2048
 #: Bytes of text for each packing part (it holds tens of thousands of pieces).
 PART_CHARS = 256 << 20
 #: Distinct words whose ids a Python worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
