@@ -10,7 +10,7 @@ Four independent kinds of evidence are combined for each row:
   counts are the text's first choices, summed by grouped aggregation.
 
 The trigram model is fitted on at most ``MAX_FIT`` labelled documents, those with the
-least hash of their id and text; counts and priors cover all rows. A row is rejected
+least hash of id, language and text (repeated rows come with them); counts and priors cover all rows. A row is rejected
 if it has no text, if its text fits every language worse than ``floor`` a trigram, or
 if the best posterior is under ``min_confidence``.
 
@@ -54,8 +54,11 @@ def trigrams(text: str) -> np.ndarray:
 
 def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each bin) from columns text and lang."""
-    sample = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    sample = sample.orderBy(F.xxhash64("text", "lang"), "lang", "text").limit(max_fit)
+    keys = [c for c in ("doc_id", "lang", "text") if c in labelled.columns]
+    hashed = labelled.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64(*keys).alias("__gl_h"))
+    # the sample's largest hash comes from hashes alone, so no task gathers texts
+    last = hashed.select("__gl_h").orderBy("__gl_h").limit(max_fit).agg(F.max("__gl_h")).first()[0]
+    sample = hashed.filter(F.col("__gl_h") <= F.lit(last)).select("text", "lang")
 
     def count(columns: list[list]) -> list[list]:
         sums: dict[str, np.ndarray] = {}
