@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..arrays import Array
 from ..operators import fourier, linalg, numeric, reductions, shape, sorting, windows
-from .catalog import query, read
+from .catalog import query, read, rounded
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> Array:
     """nation x month: sums of order prices, dense, from one aggregation."""
     orders = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    cells = orders.groupBy(F.col("c_nationkey").cast("bigint").alias("i0"), (F.month("o_orderdate") - 1).cast("bigint").alias("i1")).agg(F.round(F.sum("o_totalprice") / 1000, 3).alias("w"))
+    cells = orders.groupBy(F.col("c_nationkey").cast("bigint").alias("i0"), (F.month("o_orderdate") - 1).cast("bigint").alias("i1")).agg(rounded(F.sum("o_totalprice") / 1000, 3).alias("w"))
     every = shape.zeros(spark, (25, 12)).df.join(cells, ["i0", "i1"], "left")
     return Array(every.select("i0", "i1", F.coalesce("w", "v").alias("v")), (25, 12))
 

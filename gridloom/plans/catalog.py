@@ -31,6 +31,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Rounding as arrays round: scaled, to a whole number, and back, without a decimal form between."""
+    return F.round(value * 10.0**places) / 10.0**places
+
+
 def number(value: Column) -> Column:
     """Doubles are compared to six places; adding 0.0 makes -0.0 plain."""
     return F.round(value, 6) + F.lit(0.0)
