@@ -18,7 +18,7 @@ least ``percent`` * union, confirmed on full sets.
    the number of the others bounds their intersection; pairs that this rules out are
    never made. Members are compared with a pivot, the one with the least share of
    rare shingles; pairs still in different components after that are all compared.
-4. The union-sketch estimate drops pairs far below the limit (``MARGIN`` is six
+4. The union-sketch estimate drops pairs far below the limit (by more than six
    standard deviations at the limit), and exact Jaccard on full sets decides. First
    every set is compared with its least candidate, then pairs across components.
 5. Components come from alternating large and small stars, all in Spark.
@@ -41,8 +41,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import map_chunks, stored, without
 
-K, CAP, PERCENT, WORDS = 32, 32, 85, 5
-MARGIN = 0.38
+K, CAP, WORDS = 32, 32, 5
+#: The limit of op4's contract, and that of stages without one.
+PERCENT, STAGE_PERCENT = 85, 80
 #: Ids that may be broadcast at once: 16 MB of them.
 MAX_IDS = 2_000_000
 
@@ -174,7 +175,9 @@ def _estimated(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataF
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.withColumn("least", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
     shared = F.size(F.array_intersect(F.array_intersect("least", "sa"), "sb"))
-    return both.filter(shared >= (percent / 100 - MARGIN) * F.size("least")).select("a", "b")
+    limit = percent / 100
+    margin = 6 * (limit * (1 - limit) / k) ** 0.5
+    return both.filter(shared >= (limit - margin) * F.size("least")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -337,9 +340,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame, **params: int) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT, **params: int) -> DataFrame:
     """``docs`` with one row of each component: of repeated rows of the kept id, one stays."""
-    judged = stored(near_duplicates(docs, **params), "judged")
+    judged = stored(near_duplicates(docs, percent, **params), "judged")
     left = without(docs, judged.filter("not kept").select("doc_id"))
     again = stored(judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     if again.isEmpty():

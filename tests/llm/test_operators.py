@@ -197,6 +197,15 @@ def test_deduplicated_rows(spark):
     assert got == sorted([(5, "x"), (8, "z"), (None, "z")], key=str)
 
 
+def test_stage_limit(spark):
+    """A pair at 86 of 106 shingles is a near duplicate for a stage, not for the contract of op4."""
+    words = [f"w{k}" for k in range(100)]
+    changed = words[:30] + ["x"] + words[31:70] + ["y"] + words[71:]
+    docs = documents(spark, [" ".join(words), " ".join(changed)])
+    assert near_dup.near_duplicates(docs).filter("not kept").count() == 0
+    assert [r.doc_id for r in near_dup.deduplicated(docs).collect()] == [0]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]

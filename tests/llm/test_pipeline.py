@@ -19,7 +19,7 @@ def test_stages(spark):
         seen.append((name, before, docs.count()))
     assert [n for n, *_ in seen] == ["language ID", "quality rules", "near-duplicates", "decontamination"]
     assert seen[0][2] >= 0.95 * seen[0][1]
-    judged = near_dup.near_duplicates(docs)
+    judged = near_dup.near_duplicates(docs, near_dup.STAGE_PERCENT)
     assert judged.filter("not kept").count() == 0
     hits = decontaminate.phrase_hits(decontaminate.build_index(docs), read_table(spark, SF, "benchmark"))
     assert hits.filter("contaminated").count() == 0
