@@ -17,7 +17,8 @@ least ``percent`` * union, confirmed on full sets.
    text. Two sets that meet in such lists only share none of their rare shingles, so
    the number of the others bounds their intersection; pairs that this rules out are
    never made. Members are compared with a pivot, the one with the least share of
-   rare shingles; pairs still in different components after that are all compared.
+   rare shingles; pairs still in different components after that are all compared,
+   less those that the places of the list's value in both sets rule out.
 4. The union-sketch estimate drops pairs far below the limit (by more than six
    standard deviations at the limit), and exact Jaccard on full sets decides. First
    every set is compared with its least candidate, then pairs across components.
@@ -46,6 +47,8 @@ K, CAP, WORDS = 32, 32, 5
 PERCENT, STAGE_PERCENT = 85, 80
 #: Ids that may be broadcast at once: 16 MB of them.
 MAX_IDS = 2_000_000
+#: Parts of a hot list's members in the comparison of all.
+SALTS = 16
 
 _M1, _M2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _BASE = 0x5851F42D4C957F2D
@@ -243,7 +246,7 @@ def near_links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, words:
     saturated = stored(saturated.filter(2 * F.col("hot") > F.col("kept")).select("id"), "saturated")
     prefix = stored(_prefix_postings(full_sets(docs, saturated, words), percent, cap), "prefix")
     short = _list_pairs(prefix.filter((F.col("df") <= cap) & (F.col("df") > 1)), percent)
-    hot = prefix.filter(F.col("df") > cap).select("v", "id", "n", "common")
+    hot = prefix.filter(F.col("df") > cap).select("v", "id", "n", "common", "place")
     stars = _stars(hot, hot, percent)
 
     sure = stored(cold.union(_estimated(short, sets, percent, k)).union(_estimated(stars, sets, percent, k)).distinct(), "pairs")
@@ -266,9 +269,9 @@ def near_links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, words:
     for last in (False, True):
         apart = _apart(hot, labels, last, percent)
         apart = stored(_estimated(_across(apart, labels), sets, percent, k), "pairs")
-        if apart.isEmpty():
-            break
-        joined(apart)
+        # a pivot that links to nothing says nothing of the other members
+        if not apart.isEmpty():
+            joined(apart)
     return labels
 
 
@@ -281,8 +284,12 @@ def _apart(hot: DataFrame, labels: DataFrame, every: bool, percent: int) -> Data
     outside = mixed.filter("component <> low")
     if not every:
         return _stars(mixed, outside, percent)
-    left = outside.select("v", F.col("id").alias("x"), F.col("n").alias("m"), F.col("common").alias("shared"), F.col("component").alias("c"))
-    pairs = mixed.join(left, "v").filter((F.col("component") != F.col("c")) & _may_link("n", "common", "m", "shared", percent))
+    # in the list of a pair's first shared value, what follows it bounds the intersection
+    rest = (F.col("n") - F.col("place") + 1).alias("rest")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    left = outside.select("v", F.col("id").alias("x"), F.col("n").alias("m"), rest.alias("shared"), F.col("component").alias("c"), salts)
+    spread = mixed.select("v", "id", "n", rest, "component", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    pairs = spread.join(left, ["v", "salt"]).filter((F.col("component") != F.col("c")) & _may_link("n", "rest", "m", "shared", percent))
     return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
@@ -317,7 +324,7 @@ def _prefix_postings(full: DataFrame, percent: int, cap: int) -> DataFrame:
     # n - ceil(limit * n) + 1 places, in whole numbers
     common = F.sum((F.col("df") > cap).cast("bigint")).over(Window.partitionBy("id", "n"))
     ranked = ranked.withColumns({"place": place, "common": common})
-    return ranked.filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("v", "id", "n", "df", "common")
+    return ranked.filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("v", "id", "n", "df", "common", "place")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, k: int = K, cap: int = CAP) -> DataFrame:

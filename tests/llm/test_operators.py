@@ -180,6 +180,18 @@ def test_near_duplicates(spark):
     assert [r.kept for r in got] == [k == c for k, c in enumerate(wanted)]
 
 
+def test_near_duplicates_lone_pivot(spark):
+    """Pairs of hot lists are found where every pivot of their lists is far from all."""
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    first = words("v", 20)  # in six sets, so these come before the other hot words
+    texts = [words("a", 100) + first + [f"m{k}"] for k in range(3)]
+    texts.append(words("b", 100) + first)  # the pivot: no rare word
+    texts += [words("c", 100) + first + words(f"r{k}x", 5) for k in range(2)]
+    texts += [words(name, 100) + words(f"{name}{k}y", 30) for name in "abc" for k in range(10)]
+    got = near_dup.near_duplicates(documents(spark, [" ".join(t) for t in texts]), words=1, cap=4).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == [0, 0, 0, 3, 4, 4, *range(6, 36)]
+
+
 def test_near_duplicates_odd_ids(spark):
     text = "a b c d e f g"
     rows = [(5, text), (5, text), (5, "other words stand in this row now"), (None, text), (3, "other words stand in this row now"), (9, text)]
