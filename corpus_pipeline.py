@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontaminate, language, near_dup, packing, quality
-from gridloom.llm.common import read_table, stored, without
+from gridloom.llm.common import content_key, read_table, stored, without
 from gridloom.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go."""
-    judged = language.identify(language.document_rows(docs), language.fit(docs))
-    return without(docs, judged.filter("not kept").select("id"))
+    # the verdict is of these values alone, so it goes by them: a doc_id may be null or repeated
+    key = content_key("text", "lang", "source")
+    judged = language.identify(language.document_rows(docs.withColumn("doc_id", key)), language.fit(docs))
+    return without(docs, judged.filter("not kept").select("id"), key)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id, once."""
+    """One row of each group stays: one with the least id."""
     return near_dup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go."""
-    judged = decontaminate.phrase_hits(decontaminate.build_index(docs), read_table(spark, sf_dir, "benchmark"))
-    return without(docs, judged.filter("contaminated").select("doc_id"))
+    key = content_key("text")
+    index = decontaminate.build_index(docs.withColumn("doc_id", key))
+    judged = decontaminate.phrase_hits(index, read_table(spark, sf_dir, "benchmark"))
+    return without(docs, judged.filter("contaminated").select("doc_id"), key)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

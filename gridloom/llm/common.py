@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a Python worker turns into Python objects at a time.
@@ -104,14 +104,19 @@ def lowered(text: str | None) -> bytes:
 MAX_IDS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (one column, of few ids as a rule).
+def content_key(*columns: str) -> Column:
+    """A 64-bit hash of the columns' values, nulls told apart: equal for rows of equal values only, up to chance."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+
+
+def without(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``ids`` (one column, of few ids as a rule).
 
     The ids are broadcast only if their number is under ``MAX_IDS``; beyond it both
-    sides are shuffled. Rows with a null doc_id go if a null is among the ids.
+    sides are shuffled. Rows with a null key stay.
     """
     name = "__gl_gone"
     gone = stored(ids.select(F.col(ids.columns[0]).cast("bigint").alias(name)).distinct(), "gone")
     if gone.limit(MAX_IDS + 1).count() <= MAX_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone[name]), "left_anti")
+    return docs.join(gone, key.cast("bigint") == F.col(name), "left_anti")

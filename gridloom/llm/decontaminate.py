@@ -71,7 +71,7 @@ class _Shard:
         counts = np.bincount(ids, minlength=len(self.vocabulary)).astype(np.int32)
         sorted_places = places[order]
         gaps = np.diff(sorted_places, prepend=np.int32(0))
-        firsts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        firsts = np.cumsum(counts, dtype=np.int64) - counts
         gaps[firsts] = sorted_places[firsts]  # each term's list starts anew
         docs = np.array([-1 if d is None else d for d in self.docs], np.int64)
         nulls = np.array([d is None for d in self.docs], bool)

@@ -348,12 +348,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
 
 
 def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT, **params: int) -> DataFrame:
-    """``docs`` with one row of each component: of repeated rows of the kept id, one stays."""
-    judged = stored(near_duplicates(docs, percent, **params), "judged")
-    left = without(docs, judged.filter("not kept").select("doc_id"))
-    again = stored(judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return left
-    name = "__gl_again"
-    once = left.join(_small(again.withColumnRenamed("doc_id", name)), left["doc_id"].cast("bigint") == F.col(name), "left_semi")
-    return without(left, again).unionByName(once.dropDuplicates(["doc_id"]))
+    """``docs`` with one row of each component, of the least id; rows of one id are told apart by their texts.
+
+    Of rows of one id without words, one stays; rows with a null doc_id all stay.
+    """
+    row = "__gl_row"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    ids = rows.filter("doc_id is not null").select(F.col(row), F.col("doc_id").cast("bigint").alias("id"))
+    named = rows.select(F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id"), "text")
+    judged = stored(near_duplicates(named, percent, **params).select(F.col("doc_id").alias(row), "n_shingles", "component_id").join(ids, row), "judged")
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")), F.when(F.col("n_shingles") == 0, F.col("id"))]
+    first = judged.groupBy(*group).agg(F.min(F.struct("id", row)).alias("first")).select(F.col(f"first.{row}"))
+    gone = judged.select(row).join(first, row, "left_anti")
+    return without(rows, gone, F.col(row)).drop(row)

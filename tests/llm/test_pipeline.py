@@ -31,3 +31,19 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_null_and_repeated_ids(spark):
+    """A stage takes the rows it rejects, not the others of their ids."""
+    docs = read_table(spark, SF, "documents").filter("doc_id is not null and length(text) > 400").limit(3)
+    clean = [r.text for r in docs.collect()]
+    bad = read_table(spark, SF, "benchmark").filter("length(text) > 100").first().text
+    rows = [(None, clean[0]), (7, clean[1]), (7, clean[2]), (None, None), (7, None), (None, bad), (7, bad)]
+    made = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    texts = lambda df: sorted(r.text or "" for r in df.collect())
+    assert texts(corpus_pipeline.decontamination(spark, made, SF)) == sorted(clean + ["", ""])
+    # the model comes from the made rows, so every text of words fits
+    told = corpus_pipeline.language_id(spark, made, SF)
+    assert texts(told) == sorted(clean + [bad, bad])
+    twice = made.filter("doc_id = 7").union(made.filter("doc_id = 7"))
+    assert texts(corpus_pipeline.near_duplicates(spark, twice, SF)) == sorted([clean[1], clean[2], "", bad])
