@@ -6,8 +6,8 @@ where no letter or digit touches it on either side. One strict term, or
 (or a parent domain of it) and the start of its path overrides the vocabulary; the
 longest fitting rule wins.
 
-Defined cases: a null url, or one without ``://``, has empty host and path, no
-rule, and no terms, so it is allowed; repeated rows give repeated results; other
+Defined cases: a null url, or one without ``://``, has empty host and path and no
+rule; terms count in every url that is not null; repeated rows give repeated results; other
 columns are ignored.
 """
 
@@ -89,7 +89,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         for page, url in zip(ids, urls):
             host, path = split_url(url)
             rule = best_rule(host, path, table)
-            n_strict, n_soft = count_terms(url.translate(_LOWER), automaton()) if url and "://" in url else (0, 0)
+            n_strict, n_soft = count_terms(url.translate(_LOWER), automaton()) if url else (0, 0)
             verdict = rule[1] if rule else "block" if n_strict or n_soft >= min_soft else "allow"
             out.append((page, host, path, rule and rule[0], verdict, n_strict, n_soft))
         return [list(x) for x in zip(*out)]

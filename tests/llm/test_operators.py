@@ -99,6 +99,13 @@ def test_urls(spark):
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [*cases.values(), ("", "", None, "allow")]
 
 
+def test_urls_without_scheme(spark):
+    cases = {"//casino.example/x": ("block", 1, 0), "www.porn.example/xxx": ("block", 2, 0), "cheap-pills": ("block", 0, 2), "popcorn.io/en/": ("allow", 0, 0)}
+    got = urls.filter_urls(spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")).orderBy("page_id").collect()
+    assert [(r.verdict, r.n_strict, r.n_soft) for r in got] == list(cases.values())
+    assert {(r.host, r.path, r.rule) for r in got} == {("", "", None)}
+
+
 # licenses
 
 
