@@ -34,6 +34,9 @@ HINTS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header menu modal nav navbar "
     "navigation newsletter alert consent gdpr notice pagination popup promo promoted recommended related replies reply share sharing sidebar signup social sponsor sponsored subscribe toc toolbar widget".split()
 )
+#: Words after which a hint tells of the page, as in has-sidebar, and elements whose names say nothing of furniture.
+QUALIFIERS = frozenset("has have with without no not hide".split())
+WHOLE = frozenset("html body main".split())
 #: Elements that hold other blocks, and those that only end a block.
 CONTAINERS = frozenset("html body main article section div ul ol dl table tbody thead tfoot tr td th figure fieldset details center blockquote".split()) | FURNITURE
 BREAKS = frozenset("p br hr h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption caption summary legend option".split()) | CONTAINERS
@@ -50,6 +53,17 @@ _PARTS = re.compile(r"[a-z]+")
 _HOST = re.compile(r"://([^/?#]*)", re.S)
 
 
+def hinted(names: str) -> bool:
+    """Whether a name says furniture; after a word of ``QUALIFIERS`` it only says what the page has."""
+    for name in names.lower().split():
+        for part in _PARTS.findall(name):
+            if part in QUALIFIERS:
+                break
+            if part in HINTS:
+                return True
+    return False
+
+
 class Node:
     """An open or closed container."""
 
@@ -58,19 +72,28 @@ class Node:
     def __init__(self, tag: str, names: str, parent: Node | None, skip: bool) -> None:
         parts = set(_PARTS.findall(names.lower()))
         self.tag, self.parent = tag, parent
-        self.skip = skip or tag in FURNITURE or bool(parts & HINTS)
+        self.skip = skip or tag in FURNITURE or (not self.whole(tag, parent) and hinted(names))
         label = ".".join([tag, *sorted(re.sub(r"\d+", "", c) for c in names.lower().split())])
         self.path = f"{parent.path}>{label}" if parent else label
         self.weight = 2.0 if tag in FAVOURED or parts & GOOD else 0.5 if tag in ("html", "body") else 1.0
         self.score = 0.0
 
+    @staticmethod
+    def whole(tag: str, parent: Node | None) -> bool:
+        """Whether the element holds the page or its article, whatever its names; an article in another is a comment or the like."""
+        if tag != "article":
+            return tag in WHOLE
+        while parent is not None and parent.tag != "article":
+            parent = parent.parent
+        return parent is None
+
 
 def _named(attributes: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)} if attributes else {}
 
 
-def _hints(attributes: str) -> set[str]:
-    return HINTS.intersection(_PARTS.findall(" ".join(_named(attributes).values()).lower()))
+def _hints(attributes: str) -> bool:
+    return hinted(" ".join(_named(attributes).values()))
 
 
 def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
@@ -109,7 +132,7 @@ def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if name in BREAKS:
             flush()
             if name != "br":  # a paragraph or heading may be furniture by its own names
-                muted = not closing and name not in CONTAINERS and bool(attributes) and bool(_hints(attributes))
+                muted = not closing and name not in CONTAINERS and bool(attributes) and _hints(attributes)
         if name == "a":
             in_link = not closing
         elif name in RAW and not closing and not attributes.endswith("/"):

@@ -285,6 +285,15 @@ def test_html_extraction(spark):
     assert [r.n_chars for r in got] == [len(r.text) for r in got]
 
 
+def test_html_names_of_the_page(spark):
+    """Names that tell of the page, or stand on what holds it, mute nothing."""
+    frames = ['<body class="single has-sidebar">%s</body>', '<body class="comments-open">%s</body>', '<main class="with-sidebar">%s</main>', '<div class="layout-no-sidebar">%s</div>', '<article class="post tag-social">%s</article>']
+    inner = '<p>kept text</p><div class="sidebar">side</div><article><article class="comment"><p>reader</p></article></article>'
+    pages = [(k, f"http://h{k}.x/", f % inner) for k, f in enumerate(frames)]
+    got = html.extract_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string")).orderBy("page_id").collect()
+    assert [r.text for r in got] == ["kept text"] * len(frames)
+
+
 def test_html_on_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
