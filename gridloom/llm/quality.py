@@ -38,6 +38,9 @@ BOILERPLATE = (
 #: The symbols that the base counts.
 SYMBOLS = "#*$%&|<>"
 
+#: Characters of a very short line at most, and the marks that close a sentence or quotation.
+SHORT, CLOSING = 30, tuple(".!?…:;,\"'”’»)]")
+
 MIN_WORDS, MAX_REPEAT, MAX_LOST = 50, 0.5, 0.5
 _POSITION_BITS = 24
 _PRE = "__gl_q_"
@@ -48,8 +51,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, WHITE[1:], " " * (len(WHITE) - 1)), " "), "")
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(WHITE))
+
+
+def is_short(line: Column) -> Column:
+    """Whether a line is very short, not blank, and has no closing mark."""
+    return (F.length(line) <= SHORT) & ~F.coalesce(F.substring(_trimmed(line), -1, 1).isin("", *CLOSING), F.lit(True))
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line is to be removed (blank lines stay)."""
+    """Whether a line is to be removed for itself (blank lines stay)."""
     low = F.lower(line)
     squeezed = F.length(F.translate(line, WHITE, ""))
     tokens = F.greatest(F.regexp_count(line, F.lit(r"[^ \t\r\f]+")), F.lit(1))
@@ -109,7 +121,13 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3).cast("bigint"), p - acc["last"])).alias("n"), p.alias("last")),
         lambda acc: acc["n"],
     )
+    short, repeated = f"{_PRE}short", f"{_PRE}repeated"
+    df = df.withColumn(short, F.sort_array(F.transform(F.filter(lines, is_short), _trimmed)))
+    at = lambda i: F.get(short, i)
+    again = F.array_distinct(F.filter(short, lambda x, i: (i > 0) & (x == at(i - 1))))
+    df = df.withColumn(repeated, F.when(F.size(short) > 1, again).otherwise(F.array().cast("array<string>")))
     kept_lines = F.filter(lines, lambda x: ~line_fails(x))
+    kept_lines = F.when(F.size(repeated) == 0, kept_lines).otherwise(F.filter(kept_lines, lambda x: ~(is_short(x) & F.array_contains(repeated, _trimmed(x)))))
     df = df.withColumn(f"{_PRE}clean", F.array_join(kept_lines, "\n"))
     solid = lambda c: F.length(F.translate(c, WHITE, ""))
     stats = F.struct(
@@ -120,7 +138,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         covered.alias("n_repeat_words"),
         solid(F.col(f"{_PRE}clean")).cast("bigint").alias("clean_chars"),
     )
-    return df.withColumn(f"{_PRE}m", stats).drop(words, lines, keys, dup, good, text)
+    return df.withColumn(f"{_PRE}m", stats).drop(words, lines, keys, dup, good, text, short, repeated)
 
 
 def verdicts(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, max_lost: float = MAX_LOST) -> DataFrame:

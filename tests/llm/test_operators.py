@@ -448,6 +448,18 @@ def test_quality(spark):
     assert cleaned.text == texts[-2] and cleaned.n_words == "words"
 
 
+def test_quality_repeated_short_lines(spark):
+    rng = random.Random(5)
+    prose_line = prose(rng, 60, 100000) + "."
+    menu = "Home\nAbout\nContact\n"
+    said = "Yes.\nYes.\nOnce\n"
+    cleaned = [r.text for r in quality.clean(documents(spark, [menu + prose_line + "\n" + menu + said, "Home \n" + prose_line + "\nHome"])).orderBy("doc_id").collect()]
+    assert cleaned == [prose_line + "\n" + said, prose_line]
+    lines = "\n".join(f"w{k}a w{k}b w{k}c" for k in range(40))
+    got = quality.quality_report(documents(spark, [lines + "\n" + lines, lines])).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [False, True]
+
+
 # packing
 
 
