@@ -10,12 +10,14 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that a Python worker turns into Python objects at a time.
-CHUNK_ROWS = 256
+#: Rows, and bytes of text, that a Python worker turns into Python objects at a time (a row at least).
+CHUNK_ROWS, CHUNK_BYTES = 256, 2_000_000
 
 #: The two word classes of the contracts, over lower-cased UTF-8 bytes: every
 #: byte from 0x80 up belongs to a non-ASCII character, so byte classes are exact.
@@ -58,6 +60,20 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def chunks_of(batch: pa.RecordBatch, rows: int = CHUNK_ROWS, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, and so many bytes of strings where they have more than a row."""
+    lengths = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(lengths), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_chunks(df: DataFrame, ddl: str, fn: Callable[[list[list]], list], rows: int = CHUNK_ROWS) -> DataFrame:
     """``mapInArrow`` with ``fn`` called on a few rows at a time.
 
@@ -68,8 +84,7 @@ def map_chunks(df: DataFrame, ddl: str, fn: Callable[[list[list]], list], rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in chunks_of(batch, rows):
                 out = fn([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema
@@ -120,3 +135,37 @@ def without(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
     if gone.limit(MAX_IDS + 1).count() <= MAX_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, key.cast("bigint") == F.col(name), "left_anti")
+
+
+_M1, _M2, ROLL, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scramble unsigned 64-bit numbers, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+class SpanHasher:
+    """64-bit hashes of many spans of bytes at once, from one running sum."""
+
+    def __init__(self) -> None:
+        self.codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(ROLL))
+        self.powers = np.ones(1, np.uint64)
+        self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            size = 1 << n.bit_length()
+            for name, base in (("powers", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of ``raw[start:end]`` for each span."""
+        self._grow(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.codes[raw] * self.powers[: len(raw)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(ROLL))

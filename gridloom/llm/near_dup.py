@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import map_chunks, stored, without
+from .common import BASE, ROLL, SpanHasher, map_chunks, mix, stored, without
 
 K, CAP, WORDS = 32, 32, 5
 #: The limit of op4's contract, and that of stages without one.
@@ -50,45 +50,20 @@ MAX_IDS = 2_000_000
 #: Parts of a hot list's members in the comparison of all.
 SALTS = 16
 
-_M1, _M2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
-_BASE = 0x5851F42D4C957F2D
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Shingle hashes of many texts at once, with numpy."""
 
     def __init__(self, words: int = WORDS) -> None:
-        self.words = words
-        self.codes = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ROLL))
+        self.words, self.hasher = words, SpanHasher()
         self.white = np.zeros(256, bool)
         self.white[[9, 10, 11, 12, 13, 32]] = True
-        self.powers = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = 1 << n.bit_length()
-            for name, base in (("powers", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
 
     def word_hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of each word of lower-cased bytes."""
         raw = np.frombuffer(data, np.uint8)
-        self._grow(len(raw) + 1)
         blank = np.concatenate([[True], self.white[raw], [True]])
         edges = np.flatnonzero(blank[1:] != blank[:-1])
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.codes[raw] * self.powers[: len(raw)], out=sums[1:])
-        return starts, _mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(_ROLL))
+        return edges[::2], self.hasher(raw, edges[::2], edges[1::2])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Sorted distinct shingle hashes of each text."""
@@ -101,8 +76,8 @@ class Shingler:
         factor = 1
         for k in range(w):
             rolled += hashes[k : n - w + 1 + k] * np.uint64(factor) if n >= w else 0
-            factor = factor * _ROLL & (1 << 64) - 1
-        rolled = _mix(rolled).view(np.int64)
+            factor = factor * ROLL & (1 << 64) - 1
+        rolled = mix(rolled).view(np.int64)
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if b - a >= w:
@@ -110,8 +85,8 @@ class Shingler:
             elif b > a:  # the whole sequence, told apart from shingles by its length
                 total = np.uint64(b - a)
                 for h in hashes[a:b]:
-                    total = np.uint64((int(total) * _BASE + int(h)) & (1 << 64) - 1)
-                out.append(_mix(np.array([total], np.uint64)).view(np.int64))
+                    total = np.uint64((int(total) * BASE + int(h)) & (1 << 64) - 1)
+                out.append(mix(np.array([total], np.uint64)).view(np.int64))
             else:
                 out.append(np.zeros(0, np.int64))
         return out

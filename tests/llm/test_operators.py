@@ -508,6 +508,31 @@ def test_pack_lengths(seed):
     assert packing.pack_lengths([], 100) == ([], [])
 
 
+def test_encoder():
+    """Cut and gathered ids are those of whole texts."""
+    encoder, rng = packing.Encoder(tokenizer_path()), random.Random(5)
+    pieces = ["a", "foo", "bar.", "\n", " ", "  ", "\t", "é", "ñandú", "<|endoftext|>", "it's", "\u2003", "\u3000", "123", "!!", "x\ny", "日本", "\r\n", "\x85", "A\n\nB", "Ġ", "\x1c", " 's"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+        for text, ids in zip(texts, encoder(texts)):
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pack_equal_lengths():
+    """Whole sequences stand alone; equal lengths are matched in linear time."""
+    bins, offsets = packing.pack_lengths([10] * 5 + [5] * 200_000, 10)
+    assert len(set(bins[:5])) == 5 and not set(bins[:5]) & set(bins[5:]) and max(bins) == 100_004
+
+
+def test_pack_repeated_rows(spark):
+    """Equal rows are dealt over all parts."""
+    docs = spark.createDataFrame([(None, "")] * 4000, "doc_id bigint, text string")
+    got = packing.pack_documents(docs, tokenizer_path(), part_pieces=1000)
+    assert got.count() == 4000
+    parts = got.groupBy(F.shiftright("sequence_id", 40).alias("part")).count().collect()
+    assert len(parts) == 5 and max(r["count"] for r in parts) < 1000
+
+
 def test_empty_tables(spark):
     docs = documents(spark, ["x"]).limit(0)
     assert licenses.scan_licenses(docs).count() == 0
