@@ -26,7 +26,7 @@ WITH p AS (
   SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, {_low("url")} AS low FROM pages
 ), s AS (
   SELECT *, {_low("regexp_extract(url, '://([^/?#]*)', 1)")} AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
-    CASE WHEN contains(url, '://') THEN regexp_split_to_array(low, '[^a-z0-9]+') ELSE [] END AS terms
+    regexp_split_to_array(low, '[^a-z0-9]+') AS terms
   FROM p
 ), r(verdict, rhost, start) AS (VALUES {_RULES}),
 fit AS (
@@ -77,16 +77,23 @@ _FAILS = f"""({_SOLID("x")} > 0 AND (
   OR len(regexp_extract_all(x, '(?:^| )[|>/·•-](?: |$)')) * 10 >= greatest(1, len(regexp_extract_all(x, '[^ \\t\\r\\f]+'))) * 3
   OR regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE)}')))"""
 
+_TRIM = lambda c: f"trim({c}, {_WHITE})"
+_CLOSING = ", ".join("'" + c.replace("'", "''") + "'" for c in quality.CLOSING)
+_SHORT = lambda c: f"(length({c}) <= {quality.SHORT} AND {_TRIM(c)} <> '' AND right({_TRIM(c)}, 1) NOT IN ({_CLOSING}))"
+
 QUALITY = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws, string_split(t, chr(10)) AS ls FROM d),
+v AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws, string_split(t, chr(10)) AS ls FROM d),
+short AS (SELECT rid, {_TRIM("x")} AS x FROM (SELECT rid, unnest(ls) AS x FROM v) WHERE {_SHORT("x")}),
+menu AS (SELECT rid, list(x) AS again FROM (SELECT rid, x FROM short GROUP BY rid, x HAVING count(*) > 1) GROUP BY rid),
+w AS (SELECT v.*, coalesce(again, []) AS again FROM v LEFT JOIN menu USING (rid)),
 g AS (SELECT rid, unnest([array_to_string(ws[k:k + 2], ' ') FOR k IN range(1, len(ws) - 1)]) AS g, unnest(range(1, len(ws) - 1)) AS k FROM w WHERE len(ws) >= 3),
 r AS (SELECT rid, count(DISTINCT k + j) AS n FROM (SELECT rid, k FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1), range(3) q(j) GROUP BY rid),
 m AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({_SOLID("t")} AS BIGINT) AS word_chars,
     CAST(length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
     CAST(len(list_filter(ls, lambda x: {_SOLID("x")} > 0)) - len(list_distinct(list_filter(ls, lambda x: {_SOLID("x")} > 0))) AS BIGINT) AS n_dup_lines,
-    coalesce(r.n, 0) AS n_repeat_words, coalesce(list_sum([{_SOLID("x")} FOR x IN ls IF NOT {_FAILS}]), 0) AS clean_chars
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(list_sum([{_SOLID("x")} FOR x IN ls IF NOT {_FAILS} AND NOT ({_SHORT("x")} AND list_contains(again, {_TRIM("x")}))]), 0) AS clean_chars
   FROM w LEFT JOIN r USING (rid)
 ), f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {int(100 * quality.MAX_REPEAT)} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND clean_chars >= {1 - quality.MAX_LOST} * word_chars AS kept FROM f

@@ -11,13 +11,22 @@ Failing lines are removed. A document is then rejected if it lost more than
 ``max_lost`` of its non-blank characters, or if it fails the base rules (fewer
 than ``min_words`` words, or too many words in repeated 3-word windows).
 
+Most texts have nothing that a rule could fire on. Each rule that reads lines is
+therefore guarded by a pattern over the whole text that any failing line would match,
+and lines are judged one by one only in texts that match one. Repeated windows are
+looked for by hashes, then counted by their words, whatever the length of the text.
+
 Defined cases: a null text counts as empty; an empty text has no words and is
 rejected by the base rules; repeated rows give repeated results; columns besides
-the text are passed through by :func:`clean` under their own names.
+the text are passed through by :func:`clean` under their own names, whatever these
+are; no documents give no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import WHITE
@@ -42,19 +51,25 @@ SYMBOLS = "#*$%&|<>"
 SHORT, CLOSING = 30, tuple(".!?…:;,\"'”’»)]")
 
 MIN_WORDS, MAX_REPEAT, MAX_LOST = 50, 0.5, 0.5
-_POSITION_BITS = 24
-_PRE = "__gl_q_"
+_SPACE, _SOLID = r"[ \t\n\x0B\f\r]+", r"[^ \t\n\x0B\f\r]"
+#: What a text must match for any of its lines to fail: symbol runs, separators, capitals with no small letter between.
+_GUARDS = (r"[!%#*$&=~_+-]{2}", r"[|>/·•-](?:[\s\u0085\u2028\u2029]|$)", r"[A-Z][^a-z]*[A-Z]")
 
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text that is not null."""
-    return F.array_remove(F.split(F.translate(text, WHITE[1:], " " * (len(WHITE) - 1)), " "), "")
+    return F.array_remove(F.split(text, _SPACE, -1), "")
 
 
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(WHITE))
 
 
+def _says(text: Column) -> Column:
+    """Whether a lower-cased text contains a phrase of web furniture."""
+    return reduce(or_, (F.contains(text, F.lit(p)) for p in BOILERPLATE))
+
+
 def is_short(line: Column) -> Column:
     """Whether a line is very short, not blank, and has no closing mark."""
     return (F.length(line) <= SHORT) & ~F.coalesce(F.substring(_trimmed(line), -1, 1).isin("", *CLOSING), F.lit(True))
@@ -62,91 +77,77 @@ def is_short(line: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line is to be removed for itself (blank lines stay)."""
-    low = F.lower(line)
-    squeezed = F.length(F.translate(line, WHITE, ""))
     tokens = F.greatest(F.regexp_count(line, F.lit(r"[^ \t\r\f]+")), F.lit(1))
     separators = F.regexp_count(line, F.lit(r"(?:^| )[|>/·•-](?: |$)"))
     runs = F.regexp_count(line, F.lit(r"[!%#*$&=~_+-]{2,}(?: |$)"))
-    big = F.length(line) - F.length(F.regexp_replace(line, "[A-Z]", ""))
-    small = F.length(line) - F.length(F.regexp_replace(line, "[a-z]", ""))
-    return (squeezed > 0) & (
-        (runs * 10 >= tokens * 3) | ((big >= 20) & (big > 2 * small)) | (separators * 10 >= tokens * 3) | low.rlike("|".join(BOILERPLATE))
-    )
+    big, small = F.regexp_count(line, F.lit("[A-Z]")), F.regexp_count(line, F.lit("[a-z]"))
+    return line.rlike(_SOLID) & ((runs * 10 >= tokens * 3) | ((big >= 20) & (big > 2 * small)) | (separators * 10 >= tokens * 3) | _says(F.lower(line)))
 
 
-def repeated_words(words: Column, n_words: Column) -> tuple[Column, ...]:
-    """Steps that lead to the number of words in 3-word windows found twice or more.
+def _repeated(keys: Column, words: Column) -> Column:
+    """Sorted places of the 3-word windows found twice or more.
 
-    A window is keyed by 40 bits of its hash and 24 bits of its place, so one sort
-    of numbers brings equal windows together; neighbours with one hash are then
-    compared word by word.
+    Windows whose hash is alone are alone. Where a hash is there twice, all windows of
+    the text are sorted by hash and words, so equal ones are neighbours.
     """
-    mask = F.lit((1 << _POSITION_BITS) - 1)
-    keys = F.when(
-        n_words >= 3,
-        F.sort_array(
-            F.transform(
-                F.slice(words, 1, n_words - 2),
-                lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")),
-            )
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    return keys, mask
-
-
-def _same(words: Column, a: Column, b: Column) -> Column:
-    at = lambda x, d: F.get(words, x.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int") + d)
-    alike = F.shiftright(a, _POSITION_BITS) == F.shiftright(b, _POSITION_BITS)
-    return F.when(alike, (at(a, 0) == at(b, 0)) & (at(a, 1) == at(b, 1)) & (at(a, 2) == at(b, 2))).otherwise(F.lit(False))
-
-
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the struct ``__gl_q_m`` of base counts and the cleaned text to ``docs``."""
-    text, words, lines = f"{_PRE}text", f"{_PRE}words", f"{_PRE}lines"
-    keys, dup, good = f"{_PRE}keys", f"{_PRE}dup", f"{_PRE}good"
-    df = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
-    df = df.withColumns({words: words_of(F.col(text)), lines: F.split(text, "\n", -1)})
-    df = df.withColumns({keys: repeated_words(F.col(words), F.size(words))[0], good: F.filter(lines, lambda x: F.length(F.translate(x, WHITE, "")) > 0)})
-    key = F.col(keys)
-    # most texts have no hash twice: those need no comparison of neighbours
-    hashes = F.transform(key, lambda x: F.shiftright(x, _POSITION_BITS))
-    neighbours = F.filter(
-        key, lambda x, i: F.coalesce(_same(F.col(words), x, F.get(key, i - 1)), F.lit(False)) | F.coalesce(_same(F.col(words), x, F.get(key, i + 1)), F.lit(False))
-    )
-    places = F.sort_array(F.transform(neighbours, lambda x: x.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))))
-    df = df.withColumn(dup, F.when(F.size(F.array_distinct(hashes)) == F.size(key), F.array().cast("array<bigint>")).otherwise(places))
+    window = lambda k, i: F.struct(k.alias("h"), F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("i"))
+    alike = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    runs = lambda rows: F.transform(rows, lambda x, i: F.when(alike(x, F.get(rows, i - 1)) | alike(x, F.get(rows, i + 1)), x["i"]))
+    # an array of one keeps the sorted rows from being sorted again for each of them
+    places = F.flatten(F.transform(F.array(F.sort_array(F.transform(keys, window))), runs))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.array().cast("array<int>")).otherwise(F.sort_array(F.array_compact(places)))
+
+
+def _prefix(docs: DataFrame) -> str:
+    """The start of helper names that no column of ``docs`` has."""
+    prefix = "__gl_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def measure(docs: DataFrame, text_col: str = "text", prefix: str = "__gl_q_") -> DataFrame:
+    """Add the struct ``{prefix}m`` of base counts and the cleaned text ``{prefix}clean`` to ``docs``."""
+    name = {k: f"{prefix}{k}" for k in ("text", "words", "lines", "keys", "places", "short", "repeated", "suspect", "clean", "m")}
+    c = {k: F.col(v) for k, v in name.items()}
+    text, words, lines = c["text"], c["words"], c["lines"]
+    df = docs.withColumn(name["text"], F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    df = df.withColumns({name["words"]: words_of(text), name["lines"]: F.split(text, "\n", -1)})
+    keys = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    short = F.when(F.size(lines) > 1, F.sort_array(F.transform(F.filter(lines, is_short), _trimmed)))
+    suspect = reduce(or_, (text.rlike(g) for g in _GUARDS)) | _says(F.lower(text))
+    df = df.withColumns({name["keys"]: keys, name["short"]: short, name["suspect"]: suspect})
+    again = F.array_distinct(F.filter(c["short"], lambda x, i: (i > 0) & (x == F.get(c["short"], i - 1))))
+    df = df.withColumns({name["places"]: _repeated(c["keys"], words), name["repeated"]: F.when(F.size(name["short"]) > 1, again)})
     covered = F.aggregate(
-        F.col(dup),
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).cast("bigint").alias("last")),
-        lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3).cast("bigint"), p - acc["last"])).alias("n"), p.alias("last")),
-        lambda acc: acc["n"],
+        c["places"],
+        F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
+        lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last")),
+        lambda acc: acc["n"].cast("bigint"),
     )
-    short, repeated = f"{_PRE}short", f"{_PRE}repeated"
-    df = df.withColumn(short, F.sort_array(F.transform(F.filter(lines, is_short), _trimmed)))
-    at = lambda i: F.get(short, i)
-    again = F.array_distinct(F.filter(short, lambda x, i: (i > 0) & (x == at(i - 1))))
-    df = df.withColumn(repeated, F.when(F.size(short) > 1, again).otherwise(F.array().cast("array<string>")))
-    kept_lines = F.filter(lines, lambda x: ~line_fails(x))
-    kept_lines = F.when(F.size(repeated) == 0, kept_lines).otherwise(F.filter(kept_lines, lambda x: ~(is_short(x) & F.array_contains(repeated, _trimmed(x)))))
-    df = df.withColumn(f"{_PRE}clean", F.array_join(kept_lines, "\n"))
-    solid = lambda c: F.length(F.translate(c, WHITE, ""))
+    fine = F.when(c["suspect"], F.filter(lines, lambda x: ~line_fails(x))).otherwise(lines)
+    menu = F.size(c["repeated"]) > 0
+    fine = F.when(menu, F.filter(fine, lambda x: ~(is_short(x) & F.array_contains(c["repeated"], _trimmed(x))))).otherwise(fine)
+    df = df.withColumn(name["clean"], F.when(c["suspect"] | menu, F.array_join(fine, "\n")).otherwise(text))
+    word_chars = F.length(F.array_join(words, ""))
+    good = F.filter(lines, lambda x: x.rlike(_SOLID))
     stats = F.struct(
         F.size(words).cast("bigint").alias("n_words"),
-        solid(F.col(text)).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(F.col(text), SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        (F.size(good) - F.size(F.array_distinct(good))).cast("bigint").alias("n_dup_lines"),
+        word_chars.cast("bigint").alias("word_chars"),
+        F.when(text.rlike("[#*$%&|<>]"), F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).otherwise(0).cast("bigint").alias("n_symbols"),
+        F.when(F.size(F.array_distinct(lines)) < F.size(lines), F.size(good) - F.size(F.array_distinct(good))).otherwise(0).cast("bigint").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        solid(F.col(f"{_PRE}clean")).cast("bigint").alias("clean_chars"),
+        F.when(c["suspect"] | menu, F.length(F.regexp_replace(c["clean"], _SPACE, ""))).otherwise(word_chars).cast("bigint").alias("clean_chars"),
     )
-    return df.withColumn(f"{_PRE}m", stats).drop(words, lines, keys, dup, good, text, short, repeated)
+    return df.withColumn(name["m"], stats).drop(*(v for k, v in name.items() if k not in ("clean", "m")))
 
 
-def verdicts(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with ``__gl_q_m``, ``__gl_q_clean``, ``__gl_q_failed`` and ``__gl_q_kept``."""
-    m = F.col(f"{_PRE}m")
+def verdicts(docs: DataFrame, text_col: str = "text", prefix: str = "__gl_q_", min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, max_lost: float = MAX_LOST) -> DataFrame:
+    """``docs`` with ``{prefix}m``, ``{prefix}clean``, ``{prefix}failed`` and ``{prefix}kept``."""
+    m = F.col(f"{prefix}m")
     failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > F.lit(int(100 * max_repeat)) * m["n_words"])
     lost = m["clean_chars"] < (1 - max_lost) * m["word_chars"]
-    return measure(docs, text_col).withColumns({f"{_PRE}failed": failed, f"{_PRE}kept": ~failed & ~lost})
+    return measure(docs, text_col, prefix).withColumns({f"{prefix}failed": failed, f"{prefix}kept": ~failed & ~lost})
 
 
 def clean(docs: DataFrame, text_col: str = "text", **params: float) -> DataFrame:
@@ -154,11 +155,12 @@ def clean(docs: DataFrame, text_col: str = "text", **params: float) -> DataFrame
 
     A column ``n_chars`` is brought up to date where there is one.
     """
+    prefix = _prefix(docs)
     # a column that is not deterministic keeps the filter above the verdict: pushed below, it
     # would repeat the whole computation inside every lambda
-    fence = F.col(f"{_PRE}fence") >= 0
-    judged = verdicts(docs, text_col, **params).withColumn(f"{_PRE}fence", F.monotonically_increasing_id())
-    df = judged.filter(F.col(f"{_PRE}kept") & fence).withColumn(text_col, F.col(f"{_PRE}clean"))
+    fence = F.col(f"{prefix}fence") >= 0
+    judged = verdicts(docs, text_col, prefix, **params).withColumn(f"{prefix}fence", F.monotonically_increasing_id())
+    df = judged.filter(F.col(f"{prefix}kept") & fence).withColumn(text_col, F.col(f"{prefix}clean"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return df.select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -166,7 +168,7 @@ def clean(docs: DataFrame, text_col: str = "text", **params: float) -> DataFrame
 
 def quality_report(docs: DataFrame, **params: float) -> DataFrame:
     """A row of counts and the verdict for each document."""
-    m = F.col(f"{_PRE}m")
-    return verdicts(docs.select("doc_id", "text"), **params).select(
-        "doc_id", *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col(f"{_PRE}failed").alias("base_failed"), F.col(f"{_PRE}kept").alias("kept")
-    )
+    prefix = "__gl_q_"
+    m, judged = F.col(f"{prefix}m"), verdicts(docs.select("doc_id", "text"), "text", prefix, **params)
+    counts = (m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    return judged.select("doc_id", *counts, F.col(f"{prefix}failed").alias("base_failed"), F.col(f"{prefix}kept").alias("kept"))

@@ -417,6 +417,8 @@ def test_decontamination(spark):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(ws))
     assert any(r.contaminated for r in got.values())
+    # items in many broadcasts give the same
+    assert {r.doc_id: r for r in decontaminate.phrase_hits(index, benchmark, block_bytes=100).collect()} == got
     near = decontaminate.proximity_hits(index, spark.createDataFrame([("n", "beta alpha")], "item_id string, text string"), 1).collect()
     assert {(r.doc_id, r.item_id) for r in near} == {(len(texts) - 2, "n"), (len(texts) - 1, "n")}
     assert decontaminate.phrase_hits(index, benchmark.limit(0)).filter("n_hit > 0").count() == 0
@@ -448,6 +450,29 @@ def test_quality(spark):
     assert cleaned.text == texts[-2] and cleaned.n_words == "words"
 
 
+def test_quality_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(60)) + "."
+    docs = spark.createDataFrame([(1, text, "a", "b"), (None, None, None, None)], "doc_id bigint, text string, __gl_q_words string, __GL_Q_text string")
+    assert [tuple(r) for r in quality.clean(docs).collect()] == [(1, text, "a", "b")]
+    assert quality.clean(docs.limit(0)).columns == docs.columns
+
+
+def test_quality_repeated_windows_of_long_texts(spark):
+    """Windows that alternate, and places far into a long text."""
+    rng = random.Random(8)
+    turns = " ".join(["a b c d", "b c a d"][k % 2] for k in range(40))
+    far = prose(rng, 30000, 10**9) + " one two three four " + prose(rng, 30000, 10**9) + " one two three four"
+    for text, r in zip([turns, far], quality.quality_report(documents(spark, [turns, far])).orderBy("doc_id").collect()):
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(text)
+
+
+def test_quality_guards():
+    """Whatever line fails, its text matches a guard."""
+    patterns = [re.compile(g) for g in quality._GUARDS]
+    for line in ("a ** b ##", "A B C D E F G H I J K L M N O P Q R S T", "x | y > z", "- \r", "a -\u2028"):
+        assert any(p.search("Text.\n" + line + "\nmore") for p in patterns), line
+
+
 def test_quality_repeated_short_lines(spark):
     rng = random.Random(5)
     prose_line = prose(rng, 60, 100000) + "."
