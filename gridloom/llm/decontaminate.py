@@ -11,8 +11,9 @@ posting list of its rarest term in the shard and intersects it with the
 offset-adjusted lists of the others, rarest first. :func:`proximity_hits` asks only
 that all terms stand within a distance of the rarest one.
 
-The test items reach the tasks as broadcasts of at most ``BLOCK_BYTES`` each, used
-one after another, so what a task holds does not grow with their number.
+The test items stream through the driver into broadcasts of at most ``BLOCK_BYTES``
+each. A Python worker loads one after another and lets go of each, so what it holds
+does not grow with their number; the executors keep them on disk where memory is short.
 
 Defined cases: null and empty texts have no words and no windows; an item of fewer
 than ``window`` words is one window; items that share an id count once; repeated
@@ -167,6 +168,14 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
     return out + ([context.broadcast(block)] if block else [])
 
 
+def _loaded(blocks: list) -> Iterator[list]:
+    """The value of each broadcast, forgotten by this process when the next one is asked for."""
+    for block in blocks:
+        yield block.value
+        # PySpark keeps a value once it was read; without it, the next use reads the file again
+        block.__dict__.pop("_value", None)
+
+
 def _windows(postings: Postings, words: list[bytes], window: int) -> Iterator[tuple[int, np.ndarray]]:
     """(length, places) of each window of an item that occurs."""
     size = min(window, len(words))
@@ -178,9 +187,9 @@ def _windows(postings: Postings, words: list[bytes], window: int) -> Iterator[tu
             yield size, places
 
 
-def phrase_hits(index: DataFrame, items: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
+def phrase_hits(index: DataFrame, items: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For every document: the words inside occurrences of the items' windows."""
-    schema, blocks = arrow_schema(VERDICT), item_blocks(items)
+    schema, blocks = arrow_schema(VERDICT), item_blocks(items, block_bytes)
     if window > GAP:
         raise ValueError(f"a window has at most {GAP} words")
 
@@ -189,10 +198,10 @@ def phrase_hits(index: DataFrame, items: DataFrame, window: int = WINDOW, min_sh
         docs, nulls = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["null_ids"], bool)
         edges = np.zeros(int(starts[-1] + words[-1]) + GAP + 1, np.int32)
         found: dict[int, set[str]] = {}
-        for block in blocks:
-            wanted = {w for _, ws in block.value for w in ws}
+        for block in _loaded(blocks):
+            wanted = {w for _, ws in block for w in ws}
             postings = Postings(row["terms"], row["term_counts"], row["gaps"], wanted)
-            for item, ws in block.value:
+            for item, ws in block:
                 for size, places in _windows(postings, ws, window):
                     np.add.at(edges, places, 1)
                     np.add.at(edges, places + size, -1)
@@ -226,9 +235,9 @@ def proximity_hits(index: DataFrame, items: DataFrame, distance: int) -> DataFra
             for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
                 starts, docs = np.frombuffer(row["doc_starts"], np.int64), np.frombuffer(row["doc_ids"], np.int64)
                 nulls, out = np.frombuffer(row["null_ids"], bool), []
-                for block in blocks:
-                    postings = Postings(row["terms"], row["term_counts"], row["gaps"], {w for _, ws in block.value for w in ws})
-                    for item, words in block.value:
+                for block in _loaded(blocks):
+                    postings = Postings(row["terms"], row["term_counts"], row["gaps"], {w for _, ws in block for w in ws})
+                    for item, words in block:
                         for place in postings.near(words, distance).tolist():
                             d = int(np.searchsorted(starts, place, "right")) - 1
                             out.append((None if nulls[d] else int(docs[d]), item, place - int(starts[d])))
