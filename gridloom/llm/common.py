@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows, and bytes of text, that a Python worker turns into Python objects at a time (a row at least).
-CHUNK_ROWS, CHUNK_BYTES = 256, 2_000_000
+CHUNK_ROWS, CHUNK_BYTES = 256, 1_000_000
 
 #: The two word classes of the contracts, over lower-cased UTF-8 bytes: every
 #: byte from 0x80 up belongs to a non-ASCII character, so byte classes are exact.
@@ -34,11 +34,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a folder of this machine is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all of
+    Spark runs on this machine (local tests), a folder of it is made and set.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", conf)
         spark.sparkContext.setCheckpointDir(conf)

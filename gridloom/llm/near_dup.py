@@ -122,9 +122,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
     return map_chunks(chosen, "id bigint, n bigint, shingles binary", pack)
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    """``ids`` to be broadcast if there are few of them, else as it is."""
-    return F.broadcast(ids) if ids.limit(MAX_IDS + 1).count() <= MAX_IDS else ids
+def _hot_values(postings: DataFrame, cap: int) -> DataFrame:
+    """The values in more than ``cap`` lists: counted by partial sums, so no list is gathered."""
+    return postings.groupBy("v").agg(F.count("*").alias("df")).filter(F.col("df") > cap).select("v")
+
+
+def _small(ids: DataFrame, most: int = MAX_IDS) -> DataFrame:
+    """``ids`` to be broadcast if there are at most ``most`` of them, else as it is."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
 def _pairs(members: Column, percent: int) -> Column:
@@ -214,10 +219,11 @@ def _first_partner(pairs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS, k: int = K, cap: int = CAP) -> DataFrame:
     """Components (id, component) of the distinct sets (id, n, sketch) that have links."""
     postings = sets.select(F.explode("sketch").alias("v"), "id", "n", F.size("sketch").alias("kept"))
-    postings = postings.withColumn("df", F.count("*").over(Window.partitionBy("v")))
-    cold = stored(_estimated(_list_pairs(postings.filter((F.col("df") <= cap) & (F.col("df") > 1)), percent), sets, percent, k), "pairs")
+    hot_values = stored(_hot_values(postings, cap), "hot-values")
+    short = postings.join(_small(hot_values), "v", "left_anti")
+    cold = stored(_estimated(_list_pairs(short, percent), sets, percent, k), "pairs")
 
-    saturated = postings.filter(F.col("df") > cap).groupBy("id").agg(F.count("*").alias("hot"), F.max("kept").alias("kept"))
+    saturated = postings.join(_small(hot_values), "v", "left_semi").groupBy("id").agg(F.count("*").alias("hot"), F.max("kept").alias("kept"))
     saturated = stored(saturated.filter(2 * F.col("hot") > F.col("kept")).select("id"), "saturated")
     prefix = stored(_prefix_postings(full_sets(docs, saturated, words), percent, cap), "prefix")
     short = _list_pairs(prefix.filter((F.col("df") <= cap) & (F.col("df") > 1)), percent)
@@ -254,8 +260,9 @@ def _apart(hot: DataFrame, labels: DataFrame, every: bool, percent: int) -> Data
     """Pairs of hot-list members from different components: each with the least member of another component, or all."""
     marked = hot.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = marked.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = marked.join(groups.filter("low <> high"), "v")
-    # the largest part of a list is its first component here; what is outside it meets its members
+    # a row for each hot value: broadcast where few, so that no list meets in a task
+    mixed = marked.join(_small(stored(groups.filter("low <> high"), "mixed"), MAX_IDS // 4), "v")
+    # what is outside the least component of a list meets the list's members
     outside = mixed.filter("component <> low")
     if not every:
         return _stars(mixed, outside, percent)
@@ -277,8 +284,8 @@ def _stars(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Each list's members paired with its head that has the least share of rare shingles."""
     rare = F.struct((1 - F.col("common") / F.col("n")).alias("rare"), "id")
     best = heads.groupBy("v").agg(F.min_by(F.struct("id", "n", "common"), rare).alias("p"))
-    best = best.select("v", F.col("p.id").alias("x"), F.col("p.n").alias("m"), F.col("p.common").alias("shared"))
-    pairs = members.join(best, "v").filter((F.col("id") != F.col("x")) & _may_link("n", "common", "m", "shared", percent))
+    best = stored(best.select("v", F.col("p.id").alias("x"), F.col("p.n").alias("m"), F.col("p.common").alias("shared")), "pivots")
+    pairs = members.join(_small(best, MAX_IDS // 4), "v").filter((F.col("id") != F.col("x")) & _may_link("n", "common", "m", "shared", percent))
     return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
@@ -291,14 +298,19 @@ def _prefix_postings(full: DataFrame, percent: int, cap: int) -> DataFrame:
     def unpack(columns: list[list]) -> list:
         values = [np.frombuffer(b, np.int64) for b in columns[2]]
         offsets = np.cumsum([0] + [len(v) for v in values]).astype(np.int32)
-        return [columns[0], columns[1], pa.ListArray.from_arrays(offsets, np.concatenate(values))]
-
-    tokens = map_chunks(full.select("id", "n", "shingles"), "id bigint, n bigint, v array<bigint>", unpack).select("id", "n", F.explode("v").alias("v")).distinct()
-    ranked = tokens.withColumn("df", F.count("*").over(Window.partitionBy("v")))
-    place = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "v"))
+        return [columns[0], columns[1], pa.ListArray.from_arrays(offsets, np.concatenate(values)), columns[3]]
+
+    # rows of one id with different texts are different sets: told apart by a hash of the set
+    packed = full.withColumn("part", F.xxhash64("shingles")).dropDuplicates(["id", "part"])
+    tokens = map_chunks(packed.select("id", "n", "shingles", "part"), "id bigint, n bigint, v array<bigint>, part bigint", unpack)
+    tokens = stored(tokens, "tokens").select("id", "n", "part", F.explode("v").alias("v"))
+    # counts come by partial sums; a value alone in its list needs none
+    counts = tokens.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = tokens.join(counts, "v", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    whole = Window.partitionBy("id", "part")
     # n - ceil(limit * n) + 1 places, in whole numbers
-    common = F.sum((F.col("df") > cap).cast("bigint")).over(Window.partitionBy("id", "n"))
-    ranked = ranked.withColumns({"place": place, "common": common})
+    common = F.sum((F.col("df") > cap).cast("bigint")).over(whole)
+    ranked = ranked.withColumns({"place": F.row_number().over(whole.orderBy("df", "v")), "common": common})
     return ranked.filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("v", "id", "n", "df", "common", "place")
 
 
