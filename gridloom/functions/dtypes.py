@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+import numpy as np
 from ..arrays import Array
 
 #: Type names by kind, with their widths in bytes.
@@ -127,3 +128,25 @@ copy = ascontiguousarray = asfortranarray = require = no_op
 
 def schema_of(df: DataFrame) -> dict[str, str]:
     return dict(df.dtypes)
+
+
+class iinfo:  # noqa: N801
+    """The range of an integer type."""
+
+    def __init__(self, name: str) -> None:
+        found = np.iinfo(name)
+        self.dtype, self.bits, self.min, self.max = name, found.bits, int(found.min), int(found.max)
+
+    def __repr__(self) -> str:
+        return f"iinfo(min={self.min}, max={self.max}, dtype={self.dtype})"
+
+
+class finfo:  # noqa: N801
+    """The limits of a floating type."""
+
+    def __init__(self, name: str) -> None:
+        found = np.finfo(name)
+        self.dtype, self.bits, self.eps, self.min, self.max, self.tiny = name, found.bits, float(found.eps), float(found.min), float(found.max), float(found.tiny)
+
+    def __repr__(self) -> str:
+        return f"finfo(eps={self.eps}, min={self.min}, max={self.max}, dtype={self.dtype})"

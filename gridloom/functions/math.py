@@ -223,12 +223,13 @@ def copysign(x1: Any, x2: Any) -> Column:
 
 def logaddexp(x1: Any, x2: Any) -> Column:
     a, b = real(x1), real(x2)
-    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+    # equal values, infinities too, differ by nothing
+    return F.greatest(a, b) + F.log1p(F.exp(-F.when(a == b, 0.0).otherwise(F.abs(a - b))))
 
 
 def logaddexp2(x1: Any, x2: Any) -> Column:
     a, b = real(x1), real(x2)
-    return F.greatest(a, b) + F.log1p(F.pow(F.lit(2.0), -F.abs(a - b))) / math.log(2)
+    return F.greatest(a, b) + F.log1p(F.pow(F.lit(2.0), -F.when(a == b, 0.0).otherwise(F.abs(a - b)))) / math.log(2)
 
 
 def heaviside(x: Any, h0: Any) -> Column:
@@ -337,3 +338,6 @@ def gcd(x1: Any, x2: Any) -> Column:
 def lcm(x1: Any, x2: Any) -> Column:
     d = gcd(x1, x2)
     return F.when(d == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("div", F.abs(col(x1).cast("bigint")), F.when(d != 0, d)) * F.abs(col(x2).cast("bigint")))
+
+
+euler_gamma = 0.5772156649015329

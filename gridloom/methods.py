@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
-from .arrays import Array, axis_name
+from .arrays import Array, array, axis_name
 from .functions import bits, dtypes, math as m, predicates as p
 from .operators import linalg, reductions as r, shape, sorting, windows
 
@@ -32,6 +32,11 @@ def _integers(a: Array) -> bool:
     return a.dtype in ("tinyint", "smallint", "int", "bigint")
 
 
+def _reflected(f):
+    """The form with a plain number on the left."""
+    return lambda self, other: self.map(lambda v: f(F.lit(other), v, integers=_integers(self) and isinstance(other, int)))
+
+
 def _floor_divide(self: Array, other: Any) -> Array:
     whole = _integers(self) and (_integers(other) if isinstance(other, Array) else isinstance(other, int))
     return _binary(lambda a, b: m.floor_divide(a, b, integers=whole))(self, other)
@@ -52,12 +57,14 @@ for _name, _f in {"eq": p.equal, "ne": p.not_equal, "lt": p.less, "le": p.less_e
     setattr(Array, f"__{_name}__", _binary(_f))
 Array.__hash__ = object.__hash__
 Array.__floordiv__, Array.__mod__ = _floor_divide, _remainder
+Array.__rfloordiv__, Array.__rmod__ = _reflected(m.floor_divide), _reflected(m.remainder)
 Array.__divmod__ = lambda self, other: (_floor_divide(self, other), _remainder(self, other))
 Array.__neg__ = lambda self: self.map(m.negative)
 Array.__pos__ = lambda self: self.map(m.positive)
 Array.__abs__ = lambda self: self.map(m.abs)
 Array.__invert__ = lambda self: self.map(lambda v: ~v if self.dtype == "boolean" else bits.invert(v))
 Array.__matmul__ = linalg.matmul
+Array.__rmatmul__ = lambda self, other: linalg.matmul(array(self.df.sparkSession, other), self)
 Array.__len__ = lambda self: self.shape[0]
 
 
@@ -102,6 +109,25 @@ def _get(self: Array, key: Any) -> Array:
 Array.__getitem__ = _get
 
 
+def assigned(self: Array, key: Any, value: Any) -> Array:
+    """What ``a[key] = value`` makes of an array, as a new plan: a number, or an array of the selection's shape."""
+    place = "__flat"
+    at = _get(Array(self.df.withColumn("v", self.flat()), self.shape), key)
+    if isinstance(value, Array):
+        if value.shape != at.shape:
+            raise ValueError(f"values of shape {value.shape} do not fit a selection of shape {at.shape}")
+        given = value.df.withColumnRenamed("v", "__new")
+        new = at.df.join(given, at.axes) if at.axes else at.df.crossJoin(given)  # one element and one value
+    else:
+        new = at.df.withColumn("__new", F.lit(value))
+    new = new.select(F.col("v").alias(place), F.col("__new").cast(self.dtype), F.lit(True).alias("__set"))
+    both = self.df.withColumn(place, self.flat()).join(new, place, "left")
+    return Array(both.select(*self.axes, F.when(F.col("__set"), F.col("__new")).otherwise(F.col("v")).alias("v")), self.shape)
+
+
+Array.assigned = assigned
+
+
 def _reduction(f):
     def apply(self: Array, axis: Any = None) -> Array:
         return r.reduce_axes(self, f, axis)
@@ -120,6 +146,8 @@ def _argument(f):
     return apply
 
 
+Array.skew, Array.kurtosis = _reduction(r.skew), _reduction(r.kurtosis)
+Array.moment = r.moment
 Array.argmax, Array.argmin = _argument(r.argmax), _argument(r.argmin)
 for _module, _names in (
     (shape, "transpose swapaxes ravel flatten squeeze repeat diagonal take compress put choose fill_diagonal"),
@@ -162,6 +190,7 @@ def item(self: Array, *index: int) -> Any:
 
 
 Array.item = item
+Array.tobytes = lambda self: self.collect().tobytes()
 Array.tolist = lambda self: self.collect().tolist()
 Array.__float__ = lambda self: float(item(self))
 Array.__int__ = lambda self: int(item(self))

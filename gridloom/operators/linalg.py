@@ -21,6 +21,10 @@ from ..arrays import Array, axis_name, array
 from .shape import diagonal, elementwise, reshape
 
 
+#: What dense factorisations raise for a singular matrix.
+LinAlgError = np.linalg.LinAlgError
+
+
 def einsum(subscripts: str, *operands: Array) -> Array:
     """Einstein summation: joins on shared letters, then one grouped sum.
 

@@ -191,6 +191,26 @@ def reduce_axes(a: Array, aggregate, axis: int | Sequence[int] | None = None) ->
     return Array(out.select(*(F.col(axis_name(k)).alias(axis_name(n)) for n, k in enumerate(left)), "v"), tuple(a.shape[k] for k in left))
 
 
+def skew(x: Any) -> Column:
+    """m3 / m2 ** 1.5 of population moments; 0 for equal values."""
+    return F.when(F.var_pop(col(x)) == 0, 0.0).otherwise(F.skewness(col(x)))
+
+
+def kurtosis(x: Any) -> Column:
+    """m4 / m2 ** 2 - 3 of population moments; 0 for equal values."""
+    return F.when(F.var_pop(col(x)) == 0, 0.0).otherwise(F.kurtosis(col(x)))
+
+
+def moment(a: Array, k: int, axis: int | Sequence[int] | None = None) -> Array:
+    """The k-th central moment: the means, a row for each group, are joined back."""
+    axes = range(a.ndim) if axis is None else [axis] if isinstance(axis, int) else axis
+    gone = {a.axis(x) for x in axes}
+    left = [axis_name(x) for x in range(a.ndim) if x not in gone]
+    means = a.df.groupBy(*left).agg(F.avg("v").alias("__mean"))
+    both = a.df.join(means, left) if left else a.df.crossJoin(F.broadcast(means))  # a single mean
+    return reduce_axes(Array(both.withColumn("v", F.pow(F.col("v") - F.col("__mean"), F.lit(float(k)))), a.shape), mean, axis)
+
+
 def arg_reduce(a: Array, aggregate, axis: int) -> Array:
     """argmax and its relatives along an axis."""
     name = axis_name(a.axis(axis))

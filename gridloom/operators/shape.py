@@ -375,7 +375,9 @@ def take_along_axis(a: Array, indices: Array, axis: int) -> Array:
 def put(a: Array, indices: Array, values: Array) -> Array:
     """a.flat[indices] = values, the values repeating."""
     n = values.size
-    new = indices.df.select(F.pmod("v", F.lit(a.size)).alias("__flat"), F.pmod("i0", F.lit(n)).alias("__k"))
+    # of a repeated index the last value counts
+    last = indices.df.select(F.pmod("v", F.lit(a.size)).alias("__flat"), "i0").groupBy("__flat").agg(F.max("i0").alias("i0"))
+    new = last.select("__flat", F.pmod("i0", F.lit(n)).alias("__k"))
     new = new.join(ravel(values).df.select(F.col("i0").alias("__k"), F.col("v").alias("__new")), "__k").select("__flat", "__new")
     out = a.df.withColumn("__flat", a.flat()).join(new, "__flat", "left")
     return Array(out.select(*a.axes, F.coalesce("__new", "v").alias("v")), a.shape)
@@ -383,7 +385,10 @@ def put(a: Array, indices: Array, values: Array) -> Array:
 
 def put_along_axis(a: Array, indices: Array, values: Array, axis: int) -> Array:
     name = axis_name(a.axis(axis))
-    new = indices.df.withColumnRenamed("v", "__at").join(values.df.withColumnRenamed("v", "__new"), a.axes).drop(name).withColumnRenamed("__at", name)
+    # of a repeated index the last value along the axis counts
+    asked = indices.df.withColumnRenamed("v", "__at").join(values.df.withColumnRenamed("v", "__new"), a.axes)
+    others = [x for x in a.axes if x != name]
+    new = asked.groupBy(*others, F.pmod("__at", F.lit(a.shape[a.axis(axis)])).alias("__to")).agg(F.max_by("__new", name).alias("__new")).withColumnRenamed("__to", name)
     return Array(a.df.join(new, a.axes, "left").select(*a.axes, F.coalesce("__new", "v").alias("v")), a.shape)
 
 
@@ -573,6 +578,34 @@ def ix_(*xs: Array) -> list[Array]:
     return [reshape(x, [x.shape[0] if k == n else 1 for k in range(len(xs))]) for n, x in enumerate(xs)]
 
 
+class _Grid:
+    """``mgrid(spark)[0:3, 1:2:5j]``: a dense grid of each axis, or with ``sparse`` one array of broadcastable length for each."""
+
+    def __init__(self, sparse: bool) -> None:
+        self.sparse = sparse
+
+    def __call__(self, spark: SparkSession) -> _Ranges:
+        return _Ranges(spark, self.sparse)
+
+
+class _Ranges:
+    def __init__(self, spark: SparkSession, sparse: bool) -> None:
+        self.spark, self.sparse = spark, sparse
+
+    def _one(self, key: slice) -> Array:
+        start, step = key.start or 0, 1 if key.step is None else key.step
+        return linspace(self.spark, start, key.stop, int(abs(step))) if isinstance(step, complex) else arange(self.spark, start, key.stop, step)
+
+    def __getitem__(self, key: slice | tuple[slice, ...]) -> Array | list[Array]:
+        if isinstance(key, slice):
+            return self._one(key)
+        apart = ix_(*(self._one(k) for k in key))
+        return apart if self.sparse else stack(broadcast_arrays(*apart))
+
+
+mgrid, ogrid = _Grid(False), _Grid(True)
+
+
 def diag_indices(spark: SparkSession, n: int, ndim: int = 2) -> DataFrame:
     return spark.range(n).select(*(F.col("id").alias(axis_name(k)) for k in range(ndim)))
 

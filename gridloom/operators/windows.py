@@ -2,8 +2,10 @@
 
 Lanes of an n-d array are windows partitioned by the other axes. A single long lane
 would put every row in one task, so running totals over a whole DataFrame use two
-levels: rows are dealt by range of the order keys, totals run within a partition, and
-the sums of the partitions before it (one row for each partition) are added.
+levels: rows are dealt by range of the order keys and stored with the number of their
+part, totals run within a part, and the sums of the parts before it (one row for each
+part) are added. Rows and sums are both read from that table: dealt twice, by bounds
+that Spark samples anew, they would not agree.
 """
 
 from __future__ import annotations
@@ -14,20 +16,23 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..arrays import Array, axis_name, concat_frames
+from ..storage import stored
 
 _PART, _SUM, _BEFORE = "__gl_part", "__gl_sum", "__gl_before"
 
 
-def running_total(df: DataFrame, keys: Sequence[str], value: Column, name: str, partitions: int | None = None) -> DataFrame:
-    """``df`` with the running sum of ``value`` in the order of ``keys`` as ``name``."""
+def running_total(df: DataFrame, keys: Sequence[str], value: Column, name: str, partitions: int | None = None, product: bool = False) -> DataFrame:
+    """``df`` with the running sum (or product) of ``value`` in the order of ``keys`` as ``name``."""
+    fold, unit = (F.product, F.lit(1.0)) if product else (F.sum, F.lit(0))
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    dealt = ranged.withColumn(_PART, F.spark_partition_id())
+    dealt = stored(ranged.withColumn(_PART, F.spark_partition_id()), "dealt")
     inner = Window.partitionBy(_PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    local = dealt.withColumn(_SUM, F.sum(value).over(inner))
-    totals = dealt.groupBy(_PART).agg(F.sum(value).alias(_SUM))
+    local = dealt.withColumn(_SUM, fold(value).over(inner))
+    totals = dealt.groupBy(_PART).agg(fold(value).alias(_SUM))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PART, F.coalesce(F.sum(_SUM).over(before), F.lit(0)).alias(_BEFORE))
-    return local.join(F.broadcast(offsets), _PART).withColumn(name, F.col(_SUM) + F.col(_BEFORE)).drop(_PART, _SUM, _BEFORE)
+    offsets = totals.select(_PART, F.coalesce(fold(_SUM).over(before), unit).alias(_BEFORE))
+    whole = F.col(_SUM) * F.col(_BEFORE) if product else F.col(_SUM) + F.col(_BEFORE)
+    return local.join(F.broadcast(offsets), _PART).withColumn(name, whole).drop(_PART, _SUM, _BEFORE)
 
 
 def _flat(a: Array) -> Array:
@@ -48,6 +53,8 @@ def cumsum(a: Array, axis: int | None = None) -> Array:
 def cumprod(a: Array, axis: int | None = None) -> Array:
     """Running product; a zero stays zero from there on."""
     a, axis = _lane(a, axis)
+    if a.ndim == 1:
+        return Array(running_total(a.df, ["i0"], F.col("v"), "v", product=True), a.shape)
     return a.map(lambda v: F.product(v).over(a.over(axis).rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -99,11 +106,19 @@ def ediff1d(a: Array, to_end: Sequence[float] = (), to_begin: Sequence[float] =
 def unwrap(a: Array, discont: float | None = None, axis: int = -1, period: float = 6.283185307179586) -> Array:
     """Take jumps of over half a period out of a phase."""
     axis = a.axis(axis)
-    w = a.over(axis)
-    step = F.col("v") - F.lag("v").over(w)
+    if a.ndim == 1:  # neighbours by a join, so that a long lane is not one task
+        before = a.df.select((F.col("i0") + 1).alias("i0"), F.col("v").alias("__last"))
+        step = F.col("v") - F.col("__last")
+        df = a.df.join(before, "i0", "left")
+    else:
+        step = F.col("v") - F.lag("v").over(a.over(axis))
+        df = a.df
     half = period / 2
     inside = F.pmod(step + half, F.lit(period)) - half
     inside = F.when((inside == -half) & (step > 0), F.lit(half)).otherwise(inside)
     fix = F.when(F.abs(step) < (half if discont is None else max(discont, half)), F.lit(0.0)).otherwise(inside - step)
-    df = a.df.withColumn("__fix", F.coalesce(fix, F.lit(0.0)))
-    return Array(df.withColumn("v", F.col("v") + F.sum("__fix").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__fix"), a.shape)
+    df = df.withColumn("__fix", F.coalesce(fix, F.lit(0.0)))
+    if a.ndim == 1:
+        total = running_total(df.select("i0", "v", "__fix"), ["i0"], F.col("__fix"), "__fixed")
+        return Array(total.select("i0", (F.col("v") + F.col("__fixed")).alias("v")), a.shape)
+    return Array(df.withColumn("v", F.col("v") + F.sum("__fix").over(a.over(axis).rowsBetween(Window.unboundedPreceding, 0))).drop("__fix"), a.shape)

@@ -38,7 +38,7 @@ def rounded(value: Column, places: int) -> Column:
 
 def number(value: Column) -> Column:
     """Doubles are compared to six places; adding 0.0 makes -0.0 plain."""
-    return F.round(value, 6) + F.lit(0.0)
+    return rounded(value, 6) + F.lit(0.0)
 
 
 def projection(name: str, table: str, key: str, values: dict[str, str], column: Callable[[], Column], sql: str, kind: str = "double") -> None:
@@ -59,4 +59,4 @@ def projection(name: str, table: str, key: str, values: dict[str, str], column:
     ORACLES[name] = f"SELECT {key}, {value} AS value FROM (SELECT {key}, {inputs} FROM {table})"
 
 
-from . import arrays, elementwise, groups  # noqa: E402,F401  they register their queries
+from . import arrays, elementwise, groups, more  # noqa: E402,F401  they register their queries

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import math
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,19 +18,48 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..arrays import Array, axis_name, unravel
 
 
-def loadtxt(spark: SparkSession, path: str, columns: Sequence[str], dtype: str = "double", delimiter: str = " ", comments: str = "#", skip_header: int = 0, usecols: Sequence[int] | None = None) -> DataFrame:
-    """A delimited text as columns; a row that does not fit fails the read."""
-    ddl = ", ".join(f"`{c}` {dtype}" for c in columns)
-    reader = spark.read.schema(ddl).option("sep", delimiter).option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-    reader = reader.option("header", skip_header == 1)
-    df = reader.option("comment", comments).csv(path) if comments else reader.csv(path)
+def _lines(spark: SparkSession, path: str, columns: Sequence[str], delimiter: str, comments: str, skip: int, skip_footer: int, max_rows: int | None) -> DataFrame:
+    """The lines of one text file as string columns, in order of lines; skipping and limits go by the number of the line."""
+    from .. import arrays
+
+    text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    numbered = arrays.number_rows(text, ["at"], "line").filter(F.col("line") >= skip)
+    if skip_footer:
+        numbered = numbered.filter(F.col("line") < text.count() - skip_footer)
+    body = F.split("value", re.escape(comments), 2)[0] if comments else F.col("value")
+    numbered = numbered.withColumn("value", F.btrim(body, F.lit(" \t\r"))).filter("value <> ''")
+    if max_rows is not None:
+        numbered = arrays.number_rows(numbered.select("line", "value"), ["line"], "row").filter(F.col("row") < max_rows)
+    parts = F.split("value", r"\s+" if delimiter == " " else re.escape(delimiter), -1)
+    return numbered.select(*(F.btrim(F.get(parts, F.lit(k)), F.lit(" \t\r")).alias(c) for k, c in enumerate(columns)))
+
+
+def loadtxt(
+    spark: SparkSession, path: str, columns: Sequence[str], dtype: str = "double", delimiter: str = " ", comments: str = "#", skip_header: int = 0, usecols: Sequence[int] | None = None, max_rows: int | None = None
+) -> DataFrame:
+    """A delimited text as columns; a field that does not fit fails the read.
+
+    ``skip_header`` and ``max_rows`` are of one file: its lines are numbered then.
+    """
+    if skip_header or max_rows is not None:
+        rows = _lines(spark, path, columns, delimiter, comments, skip_header, 0, max_rows)
+        df = rows.select(*(F.col(c).cast(dtype).alias(c) for c in columns))
+    else:
+        ddl = ", ".join(f"`{c}` {dtype}" for c in columns)
+        reader = spark.read.schema(ddl).option("sep", delimiter).option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+        df = reader.option("comment", comments).csv(path) if comments else reader.csv(path)
     return df.select(*(columns[k] for k in usecols)) if usecols else df
 
 
-def genfromtxt(spark: SparkSession, path: str, columns: Sequence[str], delimiter: str = ",", comments: str = "#", missing: Sequence[str] = ("",), filling: float = float("nan"), header: bool = False) -> DataFrame:
+def genfromtxt(
+    spark: SparkSession, path: str, columns: Sequence[str], delimiter: str = ",", comments: str = "#", missing: Sequence[str] = ("",), filling: float = float("nan"), header: bool = False, skip_header: int = 0, skip_footer: int = 0, max_rows: int | None = None
+) -> DataFrame:
     """As :func:`loadtxt`; missing or unreadable fields become ``filling``."""
-    ddl = ", ".join(f"`{c}` string" for c in columns)
-    df = spark.read.schema(ddl).option("sep", delimiter).option("comment", comments).option("header", header).csv(path)
+    if skip_header or skip_footer or max_rows is not None:
+        df = _lines(spark, path, columns, delimiter, comments, skip_header + header, skip_footer, max_rows)
+    else:
+        ddl = ", ".join(f"`{c}` string" for c in columns)
+        df = spark.read.schema(ddl).option("sep", delimiter).option("comment", comments).option("header", header).csv(path)
     parsed = lambda c: F.coalesce(F.when(~F.trim(c).isin(list(missing)), F.expr(f"try_cast(trim(`{c}`) as double)")), F.lit(filling))
     return df.select(*(parsed(c).alias(c) for c in columns))
 
@@ -75,23 +105,49 @@ def _header(data: bytes) -> tuple[tuple[int, ...], bool, np.dtype, int]:
     return shape, fortran, dtype, stream.tell()
 
 
+def _kind(dtype: np.dtype) -> tuple[str, pa.DataType]:
+    if dtype.kind == "c":
+        return "struct<re:double,im:double>", pa.struct([("re", pa.float64()), ("im", pa.float64())])
+    return {"b": ("boolean", pa.bool_()), "i": ("bigint", pa.int64()), "u": ("bigint", pa.int64()), "f": ("double", pa.float64()), "U": ("string", pa.string())}[dtype.kind]
+
+
 def load_npy(spark: SparkSession, path: str) -> Array:
-    """A ``.npy`` file; the driver sees its header only."""
+    """A ``.npy`` file; the driver sees its header only. Integers, booleans, strings and complex values keep their kind."""
     files = spark.read.format("binaryFile").load(path)
-    shape, *_ = _header(bytes(files.select(F.substring("content", 1, 4096)).first()[0]))
+    shape, _, dtype, _ = _header(bytes(files.select(F.substring("content", 1, 4096)).first()[0]))
+    kind, arrow = _kind(dtype)
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 flat = np.load(io.BytesIO(content), allow_pickle=False).reshape(-1)
                 for k in range(0, len(flat), 65536):
-                    part = flat[k : k + 65536].astype(float)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part))), pa.array(part)], ["flat", "v"])
+                    part = flat[k : k + 65536]
+                    values = pa.StructArray.from_arrays([pa.array(part.real.astype(float)), pa.array(part.imag.astype(float))], ["re", "im"]) if part.dtype.kind == "c" else pa.array(part.tolist(), arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part))), values], ["flat", "v"])
 
-    df = files.select("content").mapInArrow(run, "flat bigint, v double")
+    df = files.select("content").mapInArrow(run, f"flat bigint, v {kind}")
     return Array(df.select(*(c.alias(axis_name(k)) for k, c in enumerate(unravel(F.col("flat"), shape))), "v"), tuple(shape))
 
 
+def save_npy(a: Array, path: str) -> None:
+    """One ``.npy`` file on the driver's side, for arrays that fit one value there."""
+    np.save(path, a.collect())
+
+
+def save_npz(path: str, **arrays: Array) -> None:
+    """One ``.npz`` file on the driver's side, as :func:`save_npy`."""
+    np.savez(path, **{name: a.collect() for name, a in arrays.items()})
+
+
+def load_npz(spark: SparkSession, path: str) -> dict[str, Array]:
+    """The arrays of a ``.npz`` file on the driver's side (such a file is one zip archive)."""
+    from ..arrays import array
+
+    with np.load(path, allow_pickle=False) as found:
+        return {name: array(spark, found[name]) for name in found.files}
+
+
 def frombuffer(df: DataFrame, name: str, dtype: str = "<f8", count: int = -1, offset: int = 0) -> DataFrame:
     """A binary column as an array column of numbers."""
     kind = "bigint" if np.dtype(dtype).kind in "iu" else "double"
@@ -106,8 +162,12 @@ def frombuffer(df: DataFrame, name: str, dtype: str = "<f8", count: int = -1, of
     return df.select(*keep, name).mapInArrow(run, ddl)
 
 
-def fromfile(spark: SparkSession, path: str, dtype: str = "<f8", count: int = -1, offset: int = 0) -> DataFrame:
-    """Raw binary files: path, i0 and v for each number."""
+def fromfile(spark: SparkSession, path: str, dtype: str = "<f8", count: int = -1, offset: int = 0, sep: str = "") -> DataFrame:
+    """Raw binary files, or with ``sep`` texts of numbers: path, i0 and v for each number."""
+    if sep:
+        texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"\s+" if not sep.strip() else re.escape(sep.strip()), -1).alias("v"))
+        rows = texts.select("path", F.posexplode(F.array_remove(F.transform("v", F.trim), "")).alias("i0", "v"))
+        return rows.select("path", "i0", F.col("v").cast("double").alias("v"))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return frombuffer(files, "content", dtype, count, offset).select("path", F.posexplode("content").alias("i0", "v"))
 

@@ -30,3 +30,44 @@ def test_scalars_and_equality(spark):
     assert methods.allclose(a, a + 1e-12) and a.count_nonzero() == np.count_nonzero(X) and a.nbytes == X.nbytes
     with pytest.raises(IndexError):
         a[5]
+
+
+def test_reflected_and_assigned(spark):
+    values = np.arange(1.0, 7.0).reshape(2, 3)
+    a = array(spark, values)
+    assert np.allclose((7 % a).collect(), 7 % values) and np.allclose((7 // a).collect(), 7 // values)
+    whole = array(spark, np.array([[3, 4], [5, 2]]))
+    assert np.array_equal((7 % whole).collect(), 7 % np.array([[3, 4], [5, 2]]))
+    assert np.allclose((np.ones((1, 2)).tolist() @ a).collect(), np.ones((1, 2)) @ values)
+    wanted = values.copy()
+    wanted[:, 1:] = [[9.0, 8.0], [7.0, 6.0]]
+    assert np.allclose(a.assigned((slice(None), slice(1, None)), array(spark, [[9.0, 8.0], [7.0, 6.0]])).collect(), wanted)
+    assert a.tobytes() == values.tobytes()
+    with pytest.raises(ValueError):
+        a.assigned(0, array(spark, [1.0]))
+
+
+def test_moments(spark):
+    values = np.array([[1.0, 2.0, 4.0], [3.0, 3.0, 3.0]])
+    a = array(spark, values)
+    deviations = values - values.mean(1, keepdims=True)
+    assert np.allclose(a.moment(3, 1).collect(), (deviations**3).mean(1))
+    assert np.allclose(a.skew(1).collect(), [(deviations[0] ** 3).mean() / (deviations[0] ** 2).mean() ** 1.5, 0.0])
+    assert a.kurtosis(1).collect()[1] == 0.0
+
+
+def test_files(spark, tmp_path):
+    from gridloom.sources import files
+
+    (tmp_path / "t.txt").write_text("a b\n# note\n1 2\n3  4 # more\n\n5 6\nend\n")
+    path = str(tmp_path / "t.txt")
+    assert [tuple(r) for r in files.loadtxt(spark, path, ["x", "y"], skip_header=1, max_rows=2).collect()] == [(1.0, 2.0), (3.0, 4.0)]
+    got = files.genfromtxt(spark, path, ["x", "y"], delimiter=" ", skip_header=2, skip_footer=1).collect()
+    assert [tuple(r) for r in got] == [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)]
+    (tmp_path / "n.txt").write_text("1, 2,\n3.5")
+    assert [r.v for r in files.fromfile(spark, str(tmp_path / "n.txt"), sep=",").orderBy("i0").collect()] == [1.0, 2.0, 3.5]
+    for values in (np.array([2**53 + 1, -1]), np.array([1 + 2j, 3 - 4j]), np.array([True, False]), np.array([[1.5, 2.5]])):
+        np.save(tmp_path / "a.npy", values)
+        assert np.array_equal(files.load_npy(spark, str(tmp_path / "a.npy")).collect(), values)
+    files.save_npz(str(tmp_path / "z.npz"), a=array(spark, [1.0, 2.0]))
+    assert files.load_npz(spark, str(tmp_path / "z.npz"))["a"].collect().tolist() == [1.0, 2.0]
