@@ -1,26 +1,31 @@
 r"""Chat formatting: budgeted, turn-aligned windows over conversations.
 
 A conversation becomes one or more training texts ("windows"). Prefix sums of the
-turns' token counts choose spans of whole turns that fit a budget. Every window
-after the first repeats the system turn and the last turns before its span, up to
-a limit; what is repeated is masked, so each assistant text is a target once.
+turns' token counts choose spans of whole turns that fit a budget; a turn counts for
+its text, at least a token for each ``TOKEN_CHARS`` characters, and ``TURN_TOKENS`` for
+its role and marks. Every window after that with the system turn repeats this turn,
+always and whole, and the last turns before its span, up to a limit and as far as the
+budget goes; what is repeated is masked, so each assistant text is a target once.
 
 Template: ``<turn role>`` newline, text, ``</turn>`` newline. Inside roles and
 texts ``\`` becomes ``\b``, ``<`` becomes ``\l`` and ``>`` becomes ``\g``, so no
 text can hold a mark, and the escape is reversible.
 
 Rows of a conversation are sorted across the shuffle (with spilling) and stream
-through a task: a task holds one window and its history, never a conversation.
+through a task. A task holds a window, its history and the system turn, never a
+conversation: windows and history are bounded in turns, as every turn counts. One
+conversation's turns pass one task, as their digest is sequential.
 
 Defined cases: null text or role counts as empty; rows with the same turn are
 ordered by role and text; a null turn comes first; rows whose conv_id is null
-form one conversation; a turn over the budget gets a window of its own; repeated
-rows stay; other columns are ignored; no rows give no windows.
+form one conversation; a turn over the budget gets a window of its own, with the
+system turn; the first system turn is the one that is retained; repeated rows stay; other columns are ignored; no rows give no windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +35,10 @@ from .common import arrow_schema
 
 #: Production parameters: tokens in a window, and of history repeated in one.
 BUDGET, HISTORY = 1024, 256
-#: A rough token: a run of word characters or a single other sign.
-TOKEN = r"\w+|[^\w\s]"
+#: A rough token: a run of letters and digits of any script or a single other sign.
+TOKEN = r"(?U)\w+|[^\w\s]"
+#: Characters for which a token counts at least, and tokens of a turn's role and marks.
+TOKEN_CHARS, TURN_TOKENS = 8, 4
 
 WINDOWS = "conv_id bigint, window_id bigint, n_turns bigint, n_repeated bigint, n_tokens bigint, text string, loss_starts array<bigint>, loss_ends array<bigint>"
 DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint"
@@ -67,19 +74,29 @@ class _Window:
         self.conv, self.budget, self.history, self.targets = conv, budget, history, targets
         self.id, self.prefix, self.floor = 0, 0, 0  # tokens of all turns so far, and of those before this window's span
         self.system: tuple | None = None
-        self.recent: list[tuple] = []  # the last turns, at most `history` tokens of them
+        self.recent: deque[tuple] = deque()  # the last turns, at most `history` tokens of them
+        self.held = self.kept = 0  # tokens of what is repeated, and of the last turns
         self.repeated: list[tuple] = []
         self.span: list[tuple] = []
 
+    def _repeat(self, tokens: int) -> None:
+        """Choose what the next window repeats beside a first turn of so many tokens: the system turn, and what fits of the last ones."""
+        last, room = [], self.budget - tokens - (self.system[2] if self.system else 0)
+        for turn in reversed(self.recent):
+            if turn is not self.system:
+                room -= turn[2]
+                if room < 0:
+                    break
+                last.append(turn)
+        self.repeated = ([self.system] if self.system else []) + last[::-1]
+        self.held = sum(t for *_, t in self.repeated)
+
     def add(self, role: str, text: str, tokens: int):
         """Append a turn; gives the finished window if the turn does not fit it."""
         done = None
-        held = sum(t for *_, t in self.repeated)
-        if self.span and held + self.prefix + tokens - self.floor > self.budget:
+        if self.span and self.held + self.prefix + tokens - self.floor > self.budget:
             done = self.close()
-            self.repeated = ([self.system] if self.system else []) + [t for t in self.recent if t is not self.system]
-            while self.repeated and sum(t for *_, t in self.repeated) + tokens > self.budget:
-                self.repeated.pop(1 if self.system and len(self.repeated) > 1 else 0)
+            self._repeat(tokens)
             self.floor = self.prefix
         turn = (role, text, tokens)
         if self.system is None and role == "system":
@@ -87,8 +104,9 @@ class _Window:
         self.span.append(turn)
         self.prefix += tokens
         self.recent.append(turn)
-        while self.recent and sum(t for *_, t in self.recent) > self.history:
-            self.recent.pop(0)
+        self.kept += tokens
+        while self.kept > self.history:
+            self.kept -= self.recent.popleft()[2]
         return done
 
     def close(self):
@@ -100,7 +118,7 @@ class _Window:
                 ends.append(at + b)
             out.append(turn)
             at += len(turn)
-        tokens = sum(t for *_, t in self.repeated + self.span)
+        tokens = self.held + self.prefix - self.floor
         row = (self.conv, self.id, len(self.repeated) + len(self.span), len(self.repeated), tokens, "".join(out), starts, ends)
         self.id, self.span = self.id + 1, []
         return row
@@ -116,7 +134,8 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     rows = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), role.alias("role"), text.alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    rows = rows.select("conv_id", "role", "text", F.regexp_count("text", F.lit(TOKEN)).cast("bigint").alias("tokens"))
+    tokens = F.greatest(F.regexp_count("text", F.lit(TOKEN)), F.ceil(F.length("text") / TOKEN_CHARS)) + TURN_TOKENS
+    rows = rows.select("conv_id", "role", "text", tokens.cast("bigint").alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Window | None = None

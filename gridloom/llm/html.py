@@ -3,9 +3,15 @@
 First pass: every page's containers are scored by the text of the blocks in them,
 less their link text, and the page votes for the generalised path of its best one
 (tags and classes from the body down, digits taken out). Votes are summed per host
-in Spark. Second pass: each page is read again with the paths that won on its host,
-and the blocks inside the winning container give the text. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments never count.
+in Spark and stored. Second pass: each page is read again with the paths that won on
+its host, and the blocks inside the winning container give the text. Menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never
+count.
+
+A container is furniture by its tag, or by a class, id or role that says so. A compound
+name with a word such as sidebar does not count where the container holds the page's
+main element or article or, on a page without these, most of its text: layouts are
+named after what stands beside the article.
 
 Text rules: character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined in page order by one space.
@@ -13,7 +19,7 @@ one space, blocks are trimmed and joined in page order by one space.
 Defined cases: null and empty html give an empty text; a page without a block gives
 an empty text; a page that lacks its host's winning paths uses its own best
 container; pages without a host share one empty host; repeated rows give repeated
-results; other columns are ignored.
+results; other columns are ignored; nesting may be of any depth.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_chunks, stored
@@ -37,6 +44,11 @@ HINTS = frozenset(
 #: Words after which a hint tells of the page, as in has-sidebar, and elements whose names say nothing of furniture.
 QUALIFIERS = frozenset("has have with without no not hide".split())
 WHOLE = frozenset("html body main".split())
+#: Furniture words that layouts are named after, too.
+LAYOUT = frozenset("banner footer header menu nav navbar navigation sidebar toolbar widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Last words of names that tell a state, as in comments-open.
+STATES = frozenset("open closed enabled disabled on off visible active collapsed".split())
 #: Elements that hold other blocks, and those that only end a block.
 CONTAINERS = frozenset("html body main article section div ul ol dl table tbody thead tfoot tr td th figure fieldset details center blockquote".split()) | FURNITURE
 BREAKS = frozenset("p br hr h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption caption summary legend option".split()) | CONTAINERS
@@ -44,8 +56,10 @@ BREAKS = frozenset("p br hr h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption ca
 FAVOURED = frozenset("article main".split())
 GOOD = frozenset("article body content entry main post story text".split())
 
-#: Share of a host's votes that a path needs to win, and hosts whose winners may be broadcast.
-MIN_VOTES, MAX_HOSTS = 0.1, 200_000
+#: Share of a host's votes that a path needs to win, and bytes of winners that may be broadcast.
+MIN_VOTES, MAX_BYTES = 0.1, 32 << 20
+#: What a container passes on to the one around it, and characters of a path that are written out.
+SHARE, PATH_CHARS = 0.7, 400
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -53,53 +67,75 @@ _PARTS = re.compile(r"[a-z]+")
 _HOST = re.compile(r"://([^/?#]*)", re.S)
 
 
-def hinted(names: str) -> bool:
-    """Whether a name says furniture; after a word of ``QUALIFIERS`` it only says what the page has."""
+def hinted(names: str) -> int:
+    """2 if a name says furniture, 1 if it may tell of a layout, else 0; after a word of ``QUALIFIERS`` it only says what the page has."""
+    found = 0
     for name in names.lower().split():
-        for part in _PARTS.findall(name):
+        parts = _PARTS.findall(name)
+        for k, part in enumerate(parts):
             if part in QUALIFIERS:
                 break
             if part in HINTS:
-                return True
-    return False
+                state = k + 1 < len(parts) and parts[-1] in STATES
+                found = max(found, 0 if state else 1 if len(parts) > 1 and part in LAYOUT else 2)
+    return found
 
 
 class Node:
     """An open or closed container."""
 
-    __slots__ = ("path", "tag", "parent", "skip", "weight", "score", "order")
+    __slots__ = ("tag", "parent", "label", "key", "skip", "weak", "holds", "outer", "weight", "score", "chars")
 
-    def __init__(self, tag: str, names: str, parent: Node | None, skip: bool) -> None:
+    def __init__(self, tag: str, names: str, parent: Node | None, hidden: bool) -> None:
         parts = set(_PARTS.findall(names.lower()))
         self.tag, self.parent = tag, parent
-        self.skip = skip or tag in FURNITURE or (not self.whole(tag, parent) and hinted(names))
-        label = ".".join([tag, *sorted(re.sub(r"\d+", "", c) for c in names.lower().split())])
-        self.path = f"{parent.path}>{label}" if parent else label
+        # an article in another is a comment or the like
+        self.outer = tag in WHOLE or tag == "article" and not (parent and parent.holds)
+        self.holds = tag == "article" or parent is not None and parent.holds  # inside an article
+        hint = 0 if self.outer else hinted(names)
+        self.skip, self.weak = hidden or tag in FURNITURE or hint == 2, hint == 1
+        self.label = ".".join([tag, *sorted(re.sub(r"\d+", "", c) for c in names.lower().split())])
+        self.key = xxhash.xxh3_64_intdigest(self.label.encode("utf-8", "surrogatepass"), parent.key if parent else 0)
         self.weight = 2.0 if tag in FAVOURED or parts & GOOD else 0.5 if tag in ("html", "body") else 1.0
-        self.score = 0.0
+        self.score, self.chars = 0.0, 0
 
-    @staticmethod
-    def whole(tag: str, parent: Node | None) -> bool:
-        """Whether the element holds the page or its article, whatever its names; an article in another is a comment or the like."""
-        if tag != "article":
-            return tag in WHOLE
-        while parent is not None and parent.tag != "article":
-            parent = parent.parent
-        return parent is None
+    def path(self) -> str:
+        """The labels from the page down, the last ones where they are long."""
+        out, size, node = [], 0, self
+        while node.parent is not None and size < PATH_CHARS:
+            out.append(node.label[:PATH_CHARS])
+            size += len(out[-1]) + 1
+            node = node.parent
+        return ">".join(reversed(out))[-PATH_CHARS:]
 
 
 def _named(attributes: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)} if attributes else {}
 
 
-def _hints(attributes: str) -> bool:
-    return hinted(" ".join(_named(attributes).values()))
-
-
-def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """Blocks (container, text) in page order without furniture, and all containers."""
+def _judge(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks that are not in furniture. Nodes come after their parents."""
+    for node in nodes[1:]:
+        node.skip = node.skip or node.parent.skip
+    for node, text, _ in blocks:
+        if not node.skip:
+            node.chars += len(text)
+    total, main = sum(n.chars for n in nodes), set()
+    for node in reversed(nodes[1:]):
+        if not node.skip:
+            node.parent.chars += node.chars
+            if (node.outer and node.chars or node in main) and node.tag not in ("html", "body"):
+                main.add(node.parent)
+    has_main = any(n.outer and n.chars and n.tag in FAVOURED for n in nodes)
+    for node in nodes[1:]:
+        named = node.weak and node not in main and (has_main or 2 * node.chars <= total)
+        node.skip = node.skip or node.parent.skip or named
+    return [b for b in blocks if not b[0].skip]
+
+
+def read_page(source: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """Blocks (container, text, characters in links) in page order without furniture, and all containers, scored."""
     root = Node("", "", None, False)
-    root.path = ""
     nodes, stack, blocks = [root], [root], []
     held: list[str] = []
     linked, in_link, muted, at = 0, False, False, 0
@@ -108,13 +144,8 @@ def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         nonlocal linked
         text = " ".join("".join(held).split())
         held.clear()
-        if text and not stack[-1].skip and not muted:
-            blocks.append((stack[-1], text))
-            worth, node = max(0.0, len(text) - 2 * linked), stack[-1]
-            share = 1.0
-            while node is not None and share > 0.1:
-                node.score += worth * share * node.weight
-                node, share = node.parent, share * 0.5
+        if text and not muted:
+            blocks.append((stack[-1], text, linked))
         linked = 0
 
     def put(raw: str) -> None:
@@ -131,8 +162,8 @@ def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         closing, attributes = found[1] or found[4], found[3] or found[6] or ""
         if name in BREAKS:
             flush()
-            if name != "br":  # a paragraph or heading may be furniture by its own names
-                muted = not closing and name not in CONTAINERS and bool(attributes) and _hints(attributes)
+            if name != "br":  # a paragraph or list item may be furniture by its own names
+                muted = not closing and name not in CONTAINERS and name not in HEADINGS and bool(attributes) and hinted(" ".join(_named(attributes).values())) > 0
         if name == "a":
             in_link = not closing
         elif name in RAW and not closing and not attributes.endswith("/"):
@@ -147,7 +178,7 @@ def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                         break
             else:
                 named = _named(attributes)
-                node = Node(name, f"{named.get('class', '')} {named.get('id', '')} {named.get('role', '')}", stack[-1], stack[-1].skip or "hidden" in named)
+                node = Node(name, f"{named.get('class', '')} {named.get('id', '')} {named.get('role', '')}", stack[-1], "hidden" in named)
                 nodes.append(node)
                 stack.append(node)
         elif name == "head" and not closing:
@@ -156,6 +187,12 @@ def read_page(source: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         found = _TAG.search(source, at)
     put(source[at:])
     flush()
+    blocks = _judge(nodes, blocks)
+    for node, text, links in blocks:
+        worth, share = max(0.0, len(text) - 2 * links), 1.0
+        while node is not None and share > 0.1:
+            node.score += worth * share * node.weight
+            node, share = node.parent, share * SHARE
     return blocks, nodes
 
 
@@ -163,34 +200,28 @@ def best_container(nodes: list[Node]) -> Node:
     return max(nodes, key=lambda n: n.score)
 
 
-def vote(source: str) -> tuple[str, float]:
-    """The page's choice of a path, and how much text backs it."""
-    blocks, nodes = read_page(source)
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
+def vote(source: str) -> tuple[int, str, float]:
+    """The page's choice of a path (its key and how it reads), and how much text backs it."""
+    _, nodes = read_page(source)
     best = best_container(nodes)
-    return best.path, best.score
+    return _signed(best.key), best.path(), best.score
 
 
-def main_text(source: str, winners: list[str]) -> tuple[str, str]:
-    """(path used, text); ``winners`` are the host's paths, best first."""
+def main_text(source: str, winners: list[int]) -> tuple[str, str]:
+    """(path used, text); ``winners`` are the keys of the host's paths, best first."""
     blocks, nodes = read_page(source)
-    wanted = frozenset(winners)
-    inside: dict[int, bool] = {}
-
-    def held(node: Node | None, choose) -> bool:
-        if node is None:
-            return False
-        if id(node) not in inside:
-            inside[id(node)] = choose(node) or held(node.parent, choose)
-        return inside[id(node)]
-
-    voted = {n.path for n in nodes if n.path in wanted and n.score > 0}
-    if voted:
-        path = next(w for w in winners if w in voted)
-        text = [t for n, t in blocks if held(n, lambda x: x.path == path)]
-    else:
-        best = best_container(nodes)
-        path, text = best.path, [t for n, t in blocks if held(n, lambda x: x is best)]
-    return path, " ".join(text)
+    found = {k: n for n in reversed(nodes) if n.score > 0 and (k := _signed(n.key)) in winners} if winners else {}
+    best = next((found[w] for w in winners if w in found), None)
+    chosen = {n for n in nodes if n.key == best.key} if best is not None else {best_container(nodes)}
+    for node in nodes[1:]:  # parents come first
+        if node.parent in chosen:
+            chosen.add(node)
+    path = (best or best_container(nodes)).path()
+    return path, " ".join(text for node, text, _ in blocks if node in chosen)
 
 
 def host_of(url: str | None) -> str:
@@ -199,37 +230,42 @@ def host_of(url: str | None) -> str:
 
 
 def host_paths(pages: DataFrame, min_votes: float = MIN_VOTES) -> DataFrame:
-    """The winning paths of every host, best first: columns host, paths."""
+    """The winning paths of every host, best first: columns host, keys, bytes.
+
+    A path wins with ``min_votes`` of the host's votes, or with the most of all (of
+    ties, the one that more text backs): at most ``1 + 1 / min_votes`` win.
+    """
 
     def votes(columns: list[list]) -> list[list]:
         chosen = [vote(h or "") for h in columns[1]]
-        return [[host_of(u) for u in columns[0]], [p for p, _ in chosen], [s for _, s in chosen]]
+        return [[host_of(u) for u in columns[0]], *(list(x) for x in zip(*chosen))]
 
-    counted = map_chunks(pages.select("url", "html"), "host string, path string, score double", votes).filter("score > 0")
-    counted = counted.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
-    total = counted.groupBy("host").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
-    won = counted.join(total, "host").filter((F.col("n") >= min_votes * F.col("total")) | (F.col("n") == F.col("most")))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.round(-F.col("score"), 3).alias("s"), "path")))
-    # at most 1 / min_votes paths, besides ties at the top, pass the filter
-    return won.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
+    counted = map_chunks(pages.select("url", "html"), "host string, key bigint, path string, score double", votes).filter("score > 0")
+    counted = stored(counted.groupBy("host", "key").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.min("path").alias("path")), "host-votes")
+    rank = F.struct(F.col("n"), F.round("score", 3).alias("s"), F.col("key"))
+    total = counted.groupBy("host").agg(F.sum("n").alias("total"), F.max(rank).alias("top"))
+    won = counted.join(total, "host").filter((F.col("n") >= min_votes * F.col("total")) | (F.col("key") == F.col("top.key")))
+    ranked = F.reverse(F.array_sort(F.collect_list(rank)))
+    return won.groupBy("host").agg(F.transform(ranked, lambda x: x["key"]).alias("keys")).withColumn("bytes", F.length("host") + 8 * F.size("keys") + 32)
 
 
-def extract_pages(pages: DataFrame, min_votes: float = MIN_VOTES, max_hosts: int = MAX_HOSTS) -> DataFrame:
+def extract_pages(pages: DataFrame, min_votes: float = MIN_VOTES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, url, text, n_chars and the path used, for every page."""
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     winners = stored(host_paths(pages, min_votes), "host-paths")
+    size = winners.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     host = F.coalesce(F.regexp_extract("url", "(?s)://([^/?#]*)", 1), F.lit(""))
     keyed = pages.withColumn("host", F.lower(host))
-    # a winner takes about a hundred bytes; beyond the bound hosts are joined by shuffling, salted against hot ones
-    if winners.limit(max_hosts + 1).count() <= max_hosts:
+    # winners of many hosts are joined by shuffling, salted against hot ones
+    if size <= max_bytes:
         joined = keyed.join(F.broadcast(winners), "host", "left")
     else:
         salts = 16
         spread = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
 
     def extract(columns: list[list]) -> list[list]:
         texts = [main_text(h or "", w or []) for h, w in zip(columns[2], columns[3])]
         return [columns[0], columns[1], [t for _, t in texts], [len(t) for _, t in texts], [p for p, _ in texts]]
 
-    return map_chunks(joined.select("page_id", "url", "html", "paths"), "page_id bigint, url string, text string, n_chars bigint, path string", extract)
+    return map_chunks(joined.select("page_id", "url", "html", "keys"), "page_id bigint, url string, text string, n_chars bigint, path string", extract)

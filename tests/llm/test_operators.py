@@ -65,6 +65,26 @@ def test_chat_round_trip(spark):
     assert sum(len(w.text) for w in parts) == got[1].formatted_chars
 
 
+def test_chat_system_turn_is_retained(spark):
+    """A system turn over the budget, and a turn over it, leave the system turn in every window."""
+    rows = [(1, 0, "system", "law " * 300), *((1, k, "assistant", "word " * (400 if k == 3 else 5)) for k in range(1, 9))]
+    windows = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), budget=200, history=50)
+    parts = windows.orderBy("window_id").collect()
+    assert len(parts) > 2 and all(chat.parse(w.text)[0] == ("system", "law " * 300) for w in parts)
+    assert chat.digest_windows(windows).first().n_turns == 9
+
+
+def test_chat_many_empty_turns():
+    """Turns without text are bounded, too: 100 000 of them take linear time."""
+    window, n, most = chat._Window(1, 1024, 256, frozenset(["assistant"])), 0, 0
+    for _ in range(100_000):
+        row = window.add("assistant", "", chat.TURN_TOKENS)
+        if row:
+            n += row[2] - row[3]
+            most = max(most, row[2])
+    assert n + len(window.span) == 100_000 and most <= 256
+
+
 def test_chat_empty(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.format_conversations(none).count() == 0
@@ -294,6 +314,33 @@ def test_html_names_of_the_page(spark):
     assert [r.text for r in got] == ["kept text"] * len(frames)
 
 
+def test_html_layouts(spark):
+    """Layouts named after what stands beside the article, titles, split articles, deep and generated markup."""
+    long, other = "long text of the article, " * 20, "and the other half of it, " * 20
+    cases = [
+        (f'<div class="content-sidebar-wrap"><div class="text"><p>{long}</p></div><div class="sidebar">side</div></div>', long.strip()),
+        (f'<article class="post comments-open"><h1 class="entry-header">Title</h1><p>{long}</p></article>', "Title " + long.strip()),
+        (f'<div><div class="a"><p>{long}</p></div><div class="b"><p>{other}</p></div></div>', long.strip() + " " + other.strip()),
+        ("<article><p>in the article</p></article>" + "<div>" * 5000 + "deep", "in the article"),
+        (f'<article><p>{long}</p></article><div class="comment-list">{"<p>a reader says much</p>" * 60}</div>', long.strip()),
+        (f'<p>{long}</p><div id="comments">{"<p>a reader says much</p>" * 60}</div>', long.strip()),
+    ]
+    pages = [(k, f"http://l{k}.x/", f"<body>{source}</body>") for k, (source, _) in enumerate(cases)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = html.extract_pages(df).orderBy("page_id").collect()
+    assert [r.text for r in got] == [text for _, text in cases]
+    assert html.extract_pages(df, max_bytes=0).orderBy("page_id").collect() == got
+
+
+def test_html_many_paths(spark):
+    """A host where every page has its own class names has one winner; each page still gives its text."""
+    pages = [(k, "http://one.x/", f'<div class="c{chr(97 + k % 26)}x{chr(97 + k // 26 % 26)}q{"z" * (k // 676)}"><p>text of page {k}</p></div>') for k in range(2000)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    winners = html.host_paths(df).collect()
+    assert len(winners) == 1 and len(winners[0].keys) == 1
+    assert html.extract_pages(df).filter("text = concat('text of page ', page_id)").count() == 2000
+
+
 def test_html_on_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
