@@ -21,6 +21,8 @@ def _names(terms) -> str:
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 
+_POINTS = ", ".join(f"('{t}', {w})" for t, w in urls.SOFT.items())
+
 URLS = f"""
 WITH p AS (
   SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, {_low("url")} AS low FROM pages
@@ -34,11 +36,13 @@ fit AS (
   FROM s JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, start) GROUP BY rid
 ), n AS (
   SELECT s.*, CAST(len(list_filter(terms, lambda x: x IN ({_names(urls.STRICT)}))) AS BIGINT) AS n_strict,
-    CAST(len(list_distinct(list_filter(terms, lambda x: x IN ({_names(urls.SOFT)})))) AS BIGINT) AS n_soft FROM s
-)
+    list_distinct(list_filter(terms, lambda x: x IN ({_names(urls.SOFT)}))) AS hits FROM s
+), t(term, points) AS (VALUES {_POINTS}),
+k AS (SELECT rid, count(*) AS n_soft, sum(points) AS weight FROM (SELECT rid, unnest(hits) AS term FROM n) JOIN t USING (term) GROUP BY rid)
 SELECT page_id, host, path, rule,
-  coalesce(ruled, CASE WHEN n_strict > 0 OR n_soft >= {urls.MIN_SOFT} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
-FROM n LEFT JOIN fit USING (rid)
+  coalesce(ruled, CASE WHEN n_strict > 0 OR (n_soft >= {urls.MIN_SOFT} AND weight >= {urls.MIN_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict,
+  n_strict, coalesce(n_soft, 0) AS n_soft, CAST(coalesce(weight, 0) AS BIGINT) AS weight
+FROM n LEFT JOIN fit USING (rid) LEFT JOIN k USING (rid)
 """
 
 NEAR_DUPLICATES = f"""

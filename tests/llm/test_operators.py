@@ -120,7 +120,7 @@ def test_urls(spark):
 
 
 def test_urls_without_scheme(spark):
-    cases = {"//casino.example/x": ("block", 1, 0), "www.porn.example/xxx": ("block", 2, 0), "cheap-pills": ("block", 0, 2), "popcorn.io/en/": ("allow", 0, 0)}
+    cases = {"//casino.example/x": ("block", 1, 0), "www.porn.example/xxx": ("block", 2, 0), "cheap-pills": ("block", 0, 2), "popcorn.io/en/": ("allow", 0, 0), "hot-girls": ("allow", 0, 2), "hot-girls-cash-teen": ("block", 0, 4)}
     got = urls.filter_urls(spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")).orderBy("page_id").collect()
     assert [(r.verdict, r.n_strict, r.n_soft) for r in got] == list(cases.values())
     assert {(r.host, r.path, r.rule) for r in got} == {("", "", None)}
@@ -353,7 +353,8 @@ def test_html_on_pages(spark):
 # language model
 
 
-def test_context_tree(spark):
+def test_context_tree(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "SUBTREE_GRAMS", 50)
     rng = random.Random(2)
     texts = [*TEXTS, *(prose(rng, rng.randint(1, 80)) for _ in range(40))]
     docs = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in enumerate(texts)}
@@ -415,6 +416,7 @@ def test_context_tree(spark):
         assert r.held_out == (zlib.crc32(str(k).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(sum(math.log10((train.get(w, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws), rel=1e-9)
         assert r.score == pytest.approx(sum(map(log10, ws)), rel=1e-5)
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / len(b" ".join(ws)), rel=1e-9)
 
 
 def test_context_tree_is_a_distribution():
