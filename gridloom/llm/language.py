@@ -4,13 +4,15 @@ Four independent kinds of evidence are combined for each row:
 
 * text: a naive Bayes likelihood of byte trigrams (hashed into ``BINS``), tempered so
   that long texts do not outweigh everything else;
-* the declared markup language;
-* the suffix of the address (a country domain);
+* the declared markup language, and
+* the suffix of the address (a country domain): each is believed as often as it agrees
+  with the text's first choice over all rows, counted by aggregation and smoothed;
 * a prior of the host, smoothed towards its domain and that towards all rows. Its
   counts are the text's first choices, summed by grouped aggregation.
 
 The trigram model is fitted on at most ``MAX_FIT`` labelled documents, those with the
-least hash of id, language and text (repeated rows come with them); counts and priors cover all rows. A row is rejected
+least hash of id, language and text (repeated rows count once); counts and priors cover
+all rows. A row is rejected
 if it has no text, if its text fits every language worse than ``floor`` a trigram, or
 if the best posterior is under ``min_confidence``.
 
@@ -32,13 +34,20 @@ from .common import map_chunks, stored
 BINS, MAX_FIT = 1 << 15, 1000
 #: Trigrams to which a text's evidence is capped, and the smoothing of priors.
 TEMPER, HOST_ALPHA, DOMAIN_ALPHA = 60.0, 5.0, 20.0
-#: Probability that a declaration or a suffix names the true language.
-P_DECLARED, P_SUFFIX = 0.9, 0.8
+#: Prior counts (agreeing, all) of a declaration and of a suffix, and the limits of the probability that it is right.
+DECLARED_COUNTS, SUFFIX_COUNTS, LIMITS = (9.0, 10.0), (8.0, 10.0), (0.5, 0.98)
 MIN_CONFIDENCE, FLOOR = 0.5, -9.9
 MAX_HOSTS = 200_000
 
 #: Country suffixes and their main language.
-SUFFIXES = {"at": "de", "ar": "es", "au": "en", "cl": "es", "co": "es", "de": "de", "es": "es", "fr": "fr", "ie": "en", "mx": "es", "nz": "en", "uk": "en", "us": "en"}
+SUFFIXES = {
+    "ar": "es", "at": "de", "au": "en", "bo": "es", "br": "pt", "cl": "es", "co": "es", "cr": "es", "cu": "es", "cz": "cs", "de": "de", "dk": "da", "do": "es", "ec": "es",
+    "es": "es", "fi": "fi", "fr": "fr", "gb": "en", "gr": "el", "gt": "es", "hn": "es", "hu": "hu", "ie": "en", "it": "it", "jp": "ja", "kr": "ko", "li": "de", "mx": "es",
+    "ni": "es", "nl": "nl", "no": "no", "nz": "en", "pa": "es", "pe": "es", "pl": "pl", "pt": "pt", "py": "es", "ro": "ro", "ru": "ru", "se": "sv", "sv": "es", "tr": "tr",
+    "ua": "uk", "uk": "en", "us": "en", "uy": "es", "ve": "es",
+}
+#: Labels below a country that are registries, as in co.uk.
+REGISTRIES = frozenset("ac co com edu gob gov net ne nom or org".split())
 
 _TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z]+;", re.S | re.I)
 _LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
@@ -57,8 +66,9 @@ def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[list[str], np.ndar
     keys = [c for c in ("doc_id", "lang", "text") if c in labelled.columns]
     hashed = labelled.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64(*keys).alias("__gl_h"))
     # the sample's largest hash comes from hashes alone, so no task gathers texts
-    last = hashed.select("__gl_h").orderBy("__gl_h").limit(max_fit).agg(F.max("__gl_h")).first()[0]
-    sample = hashed.filter(F.col("__gl_h") <= F.lit(last)).select("text", "lang")
+    last = hashed.select("__gl_h").distinct().orderBy("__gl_h").limit(max_fit).agg(F.max("__gl_h")).first()[0]
+    # partial aggregation keeps one of equal rows in every task
+    sample = hashed.filter(F.col("__gl_h") <= F.lit(last)).groupBy("__gl_h").agg(F.first("text").alias("text"), F.first("lang").alias("lang")).select("text", "lang")
 
     def count(columns: list[list]) -> list[list]:
         sums: dict[str, np.ndarray] = {}
@@ -77,6 +87,12 @@ def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[list[str], np.ndar
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def domain_of(host: str) -> str:
+    """The last two labels, or three under a registry of a country."""
+    labels = host.split(".")
+    return ".".join(labels[-3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in REGISTRIES else -2 :])
+
+
 def score_text(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool = False) -> DataFrame:
     """id, host, domain, declared, suffix, the mean log likelihoods and the number of trigrams.
 
@@ -94,7 +110,7 @@ def score_text(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: boo
             letters = len(found)
             means.append(sent.value[found].sum(axis=0, dtype=np.float64) / letters if letters > 2 else np.zeros(len(langs)))
             sizes.append(letters if letters > 2 else 0)
-        domains = [".".join(h.split(".")[-2:]) if h else None for h in hosts]
+        domains = [domain_of(h) if h else None for h in hosts]
         suffix = [SUFFIXES.get((a or "").rpartition(".")[2].lower()) for a in address]
         declared = [(d or "").strip().lower().replace("_", "-").split("-")[0] or None for d in declared]
         return [ids, [h or None for h in hosts], domains, declared, suffix, [m.tolist() for m in means], sizes]
@@ -124,6 +140,16 @@ def host_priors(scored: DataFrame, langs: list[str]) -> DataFrame:
     return joined.select("host", F.array(*(F.log(smooth(k, n, F.lit(HOST_ALPHA), F.col(f"d{k}"))) for k in range(len(langs)))).alias("prior"))
 
 
+def agreement(scored: DataFrame, langs: list[str]) -> tuple[float, float]:
+    """How often the declared language, and that of the suffix, is the text's first choice: smoothed shares over all rows."""
+    first, found = _choice(langs, F.col("means")), []
+    both = [f(F.col(c).isin(langs) & (F.col("n") > 0)) for c in ("declared", "suffix") for f in (lambda x, c=c: F.count_if(x & (F.col(c) == first)), F.count_if)]
+    counts = scored.agg(*(x.alias(f"c{k}") for k, x in enumerate(both))).first()
+    for k, (agree, total) in enumerate((DECLARED_COUNTS, SUFFIX_COUNTS)):
+        found.append(min(LIMITS[1], max(LIMITS[0], (counts[2 * k] + agree) / (counts[2 * k + 1] + total))))
+    return tuple(found)
+
+
 def identify(
     rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool = False, min_confidence: float = MIN_CONFIDENCE, floor: float = FLOOR, max_hosts: int = MAX_HOSTS
 ) -> DataFrame:
@@ -134,6 +160,7 @@ def identify(
         return rows.select("id", "host", "declared", nothing.alias("suffix"), nothing.alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     scored = stored(score_text(rows, model, markup), "language-scores")
     priors = stored(host_priors(scored, langs), "language-priors")
+    p_declared, p_suffix = agreement(scored, langs)
     if priors.limit(max_hosts + 1).count() <= max_hosts:
         joined = scored.join(F.broadcast(priors), "host", "left")
     else:  # more hosts than may be broadcast: join by shuffling, salted against hot hosts
@@ -145,7 +172,7 @@ def identify(
     weight = F.least(F.col("n"), F.lit(TEMPER))
     sums = F.array(
         *(
-            weight * F.get("means", F.lit(k)) + F.coalesce(F.get("prior", F.lit(k)), F.lit(-math.log(len(langs)))) + named("declared", x, P_DECLARED) + named("suffix", x, P_SUFFIX)
+            weight * F.get("means", F.lit(k)) + F.coalesce(F.get("prior", F.lit(k)), F.lit(-math.log(len(langs)))) + named("declared", x, p_declared) + named("suffix", x, p_suffix)
             for k, x in enumerate(langs)
         )
     )
@@ -165,5 +192,5 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Rows for :func:`identify` from doc_id, text, lang and source."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address"), F.col("source").alias("host"))
+    """Rows for :func:`identify` from doc_id, text and source; ``lang`` is what the model is fitted on, so it is no evidence."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("address"), F.col("source").alias("host"))

@@ -276,6 +276,62 @@ def test_language(spark):
     assert right > 0.97 and kept > 0.97
 
 
+def test_language_posterior(spark):
+    """The fused posterior of every row, computed again without Spark; joins by broadcast and by salts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, table = language.fit(docs)
+    rng, rows = random.Random(6), []
+    texts = [r.text for r in docs.select("text").orderBy("doc_id").limit(60).collect()]
+    for k in range(150):
+        text = rng.choice([None, "", "ab", " ".join((rng.choice(texts) or "x").split()[: rng.choice([3, 8, 80])])])
+        host = rng.choice([None, "a.example.de", "b.example.de", "shop.x.co.uk", "x.co.uk", "one.fr"])
+        rows.append((k, text, rng.choice([None, "de", "en-GB", "xx"]), host, host))
+    got = {r.id: r for r in language.identify(spark.createDataFrame(rows, "id bigint, text string, declared string, address string, host string"), (langs, table)).collect()}
+    means = {}
+    for k, text, *_ in rows:
+        found = language.trigrams(text or "")
+        means[k] = (len(found), table[:, found].astype(float).mean(axis=1)) if len(found) > 2 else (0, np.zeros(len(langs)))
+    choice = {k: langs[int(np.argmax(m))] for k, (n, m) in means.items() if n}
+    suffix = lambda h: language.SUFFIXES.get((h or "").rpartition(".")[2])
+    said = lambda d: (d or "").split("-")[0]
+
+    def rate(values, prior):
+        known = [(v, choice[k]) for k, v in values if k in choice and v in langs]
+        return min(0.98, max(0.5, (sum(a == b for a, b in known) + prior[0]) / (len(known) + prior[1])))
+
+    p_declared = rate([(k, said(d)) for k, _, d, _, _ in rows], language.DECLARED_COUNTS)
+    p_suffix = rate([(k, suffix(h)) for k, _, _, _, h in rows], language.SUFFIX_COUNTS)
+    count = lambda test: np.array([sum(choice[k] == x for k, *_, h in rows if k in choice and h and test(h)) for x in langs], float)
+    every = count(lambda h: True)
+    base = (every + 1) / (every.sum() + len(langs))
+    for k, text, declared, _, host in rows:
+        n, mean = means[k]
+        prior = np.full(len(langs), 1 / len(langs))
+        if host and count(lambda h: h == host).sum():
+            inner = count(lambda h: language.domain_of(h) == language.domain_of(host))
+            domain = (inner + language.DOMAIN_ALPHA * base) / (inner.sum() + language.DOMAIN_ALPHA)
+            own = count(lambda h: h == host)
+            prior = (own + language.HOST_ALPHA * domain) / (own.sum() + language.HOST_ALPHA)
+        scores = min(n, language.TEMPER) * mean + np.log(prior)
+        for value, p in ((said(declared), p_declared), (suffix(host), p_suffix)):
+            if value in langs:
+                scores += np.log([p if x == value else (1 - p) / (len(langs) - 1) for x in langs])
+        wanted = np.exp(scores - scores.max())
+        assert got[k].confidence == pytest.approx(1 / wanted.sum(), abs=2e-5), rows[k]
+        if sorted(scores)[-1] - sorted(scores)[-2] > 1e-6:
+            assert got[k].lang == langs[int(np.argmax(scores))]
+    assert language.domain_of("a.b.co.uk") == "b.co.uk" and language.domain_of("a.b.com") == "b.com" and language.domain_of("co.uk") == "co.uk"
+    salted = language.identify(spark.createDataFrame(rows, "id bigint, text string, declared string, address string, host string"), (langs, table), max_hosts=1)
+    assert {r.id: r for r in salted.collect()} == got
+
+
+def test_language_fit_counts_repeated_rows_once(spark):
+    rows = [(1, "ein text und noch einer", "de")] * 50 + [(2, "a text and one more", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    langs, table = language.fit(df, max_fit=2)
+    assert langs == ["de", "en"] and np.allclose(table, language.fit(df.distinct())[1])
+
+
 def test_language_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit(docs)
