@@ -148,6 +148,40 @@ def test_licenses(spark):
     assert labels == ["mit", "", "cc-by,cc-by-nc", "cc-by,gpl,reserved", "apache-2.0", "", "gpl,gpl-3.0"]
 
 
+def template_pattern(template):
+    """A template as a regular expression over words, each with a space in front."""
+    parts = re.findall(r"\[\[|\]\]|<<[^:>]*:\d+>>|[^\s\[\]<>]+", template)
+    put = lambda p: "(?:" if p == "[[" else ")?" if p == "]]" else rf"(?: \S+){{0,{p.split(':')[1][:-2]}}}" if p.startswith("<<") else " " + re.escape(p)
+    return re.compile("".join(map(put, parts)) + "(?= |$)")
+
+
+def test_license_templates(spark):
+    """Labels and scores of texts made from the templates, whole, varied and broken, against regular expressions."""
+    rng, texts = random.Random(11), []
+    for template in licenses.TEMPLATES.values():
+        for k in range(8):
+            words = []
+            for p in re.findall(r"\[\[[^\]]*\]\]|<<[^:>]*:\d+>>|[^\s\[\]<>]+", template):
+                if p.startswith("[["):
+                    words += re.sub(r"<<[^>]*>>", "4", p[2:-2]).split() if rng.random() < 0.5 else []
+                elif p.startswith("<<"):
+                    words += [f"any{j}" for j in range(rng.randint(0, int(p.split(":")[1][:-2]) + (k == 7)))]
+                else:
+                    words.append(p)
+            if k > 4:
+                words[rng.randrange(len(words))] = "changed"
+            texts.append("Before, this: " + " ".join(words).upper() + ". And after.")
+    got = licenses.scan_licenses(documents(spark, texts)).orderBy("doc_id").collect()
+    patterns = {label: template_pattern(t) for label, t in licenses.TEMPLATES.items()}
+    for text, r in zip(texts, got):
+        low = "".join(" " + w for w in re.findall(r"[0-9a-z]+", text.lower()))
+        wanted = {label for label, p in patterns.items() if p.search(low)}
+        assert set(filter(None, r.labels.split(","))) - set(r.base_labels.split(",")) == wanted, text
+        sizes = [len(re.sub(r"\[\[.*?\]\]|<<.*?>>", " ", licenses.TEMPLATES[x]).split()) for x in wanted] + [len(p.split()) for p, x in licenses.PHRASES.items() if x in r.base_labels.split(",")]
+        assert r.score == (max(sizes) / (max(sizes) + licenses.HALF) if sizes else 0.0)
+    assert len({r.score for r in got}) > 8
+
+
 def test_template_automaton():
     auto = licenses.compile_template("a [[b [[c]]]] <<x:2>> d")
     for text, wanted in (("a d", True), ("a b d", True), ("a b c d", True), ("a c d", True), ("a x y d", True), ("a x y z d", False), ("a b c x y d", True), ("b d", False)):
