@@ -5,17 +5,18 @@ from __future__ import annotations
 import ctypes
 import re
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gridloom.storage import shared_dir, stored  # noqa: F401
+
 #: Rows, and bytes of text, that a Python worker turns into Python objects at a time (a row at least).
 CHUNK_ROWS, CHUNK_BYTES = 256, 1_000_000
 
@@ -31,33 +32,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all of
-    Spark runs on this machine (local tests), a folder of it is made and set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        conf = tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage: what is computed from the result never runs ``df`` again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
@@ -121,6 +95,14 @@ def lowered(text: str | None) -> bytes:
 MAX_IDS = 2_000_000
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def content_key(*columns: str) -> Column:
     """A 64-bit hash of the columns' values, nulls told apart: equal for rows of equal values only, up to chance."""
     return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
@@ -132,7 +114,7 @@ def without(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
     The ids are broadcast only if their number is under ``MAX_IDS``; beyond it both
     sides are shuffled. Rows with a null key stay.
     """
-    name = "__gl_gone"
+    name = free_name(docs, "gone")
     gone = stored(ids.select(F.col(ids.columns[0]).cast("bigint").alias(name)).distinct(), "gone")
     if gone.limit(MAX_IDS + 1).count() <= MAX_IDS:
         gone = F.broadcast(gone)
@@ -149,25 +131,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class SpanHasher:
-    """64-bit hashes of many spans of bytes at once, from one running sum."""
-
-    def __init__(self) -> None:
-        self.codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(ROLL))
-        self.powers = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = 1 << n.bit_length()
-            for name, base in (("powers", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The hash of ``raw[start:end]`` for each span."""
-        self._grow(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.codes[raw] * self.powers[: len(raw)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(ROLL))
+def span_hashes(data: bytes, edges: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of ``data`` between each edge and the next; equal spans are hashed once."""
+    spans = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+    coded = spans.dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))[coded.indices.to_numpy()]

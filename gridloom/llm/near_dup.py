@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import BASE, ROLL, SpanHasher, map_chunks, mix, stored, without
+from .common import BASE, ROLL, free_name, map_chunks, mix, span_hashes, stored, without
 
 K, CAP, WORDS = 32, 32, 5
 #: The limit of op4's contract, and that of stages without one.
@@ -54,7 +54,7 @@ class Shingler:
     """Shingle hashes of many texts at once, with numpy."""
 
     def __init__(self, words: int = WORDS) -> None:
-        self.words, self.hasher = words, SpanHasher()
+        self.words = words
         self.white = np.zeros(256, bool)
         self.white[[9, 10, 11, 12, 13, 32]] = True
 
@@ -63,7 +63,8 @@ class Shingler:
         raw = np.frombuffer(data, np.uint8)
         blank = np.concatenate([[True], self.white[raw], [True]])
         edges = np.flatnonzero(blank[1:] != blank[:-1])
-        return edges[::2], self.hasher(raw, edges[::2], edges[1::2])
+        # words and what stands between them take turns
+        return edges[::2], span_hashes(data, edges)[::2] if len(edges) else np.zeros(0, np.uint64)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Sorted distinct shingle hashes of each text."""
@@ -339,7 +340,7 @@ def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT, **params: int) -
 
     Of rows of one id without words, one stays; rows with a null doc_id all stay.
     """
-    row = "__gl_row"
+    row = free_name(docs, "row_number")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     ids = rows.filter("doc_id is not null").select(F.col(row), F.col("doc_id").cast("bigint").alias("id"))
     named = rows.select(F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id"), "text")

@@ -6,7 +6,7 @@ tokenizers) are tested against brute force in ``tests/llm``.
 
 from __future__ import annotations
 
-from . import near_dup, quality, urls
+from . import clusters, near_dup, quality, spelling, urls
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,4 +103,62 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND clean_chars >= {1 - quality.MAX_LOST} * word_chars AS kept FROM f
 """
 
-ORACLES = {"op2_url_filter": URLS, "op4_near_duplicates": NEAR_DUPLICATES, "op8_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY}
+SPELLING = f"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+pairs AS (SELECT doc, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce([CAST(('0x' || hex(encode(doc || ':' || run))[2 * k + 1:2 * k + 2]) AS BIGINT) FOR k IN range(octet_length(encode(doc || ':' || run)))],
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM pairs, tab
+), thin AS (SELECT CASE WHEN h % {spelling.DELETE} = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:length(run)] ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM thin WHERE length(word) >= {spelling.LENGTH} GROUP BY word HAVING sum(n) >= {spelling.TIMES}),
+less AS MATERIALIZED (SELECT word, n, unnest(range(length(word))) AS k, unnest([word[1:k] || word[k + 2:length(word)] FOR k IN range(length(word))]) AS cut FROM words),
+near AS (
+  SELECT DISTINCT a.word AS a, b.word AS b, b.n AS nb FROM less a JOIN less b ON a.k = b.k AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.cut = b.word
+), best AS (SELECT a, count(*) AS n_near, arg_min(b, (-nb, hex(encode(b)))) AS form, max(nb) AS form_n FROM near GROUP BY a),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.FACTOR} * n THEN form END AS form, CASE WHEN form_n >= {spelling.FACTOR} * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best ON a = word
+), chain AS (SELECT word, word AS root, form AS more FROM formed UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.more)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN chain c ON c.word = f.word AND c.more IS NULL
+"""
+
+
+def _clusters() -> str:
+    """The rounds of the clustering, one after another, each by a full comparison."""
+    k, size = clusters.K, clusters.SIZE
+    parts = [
+        f"""e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, [floor({clusters.SCALE} * CAST(v AS DOUBLE)) FOR v IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x AS c FROM (SELECT sha256('{clusters.SEED}:' || vec_id) AS h, x FROM e WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k}))",
+    ]
+    for r in range(clusters.ROUNDS + 1):
+        parts.append(
+            f"""a{r} AS MATERIALIZED (SELECT rid, min((d, j)) AS best FROM (
+  SELECT rid, j, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM e, c{r}) GROUP BY rid)"""
+        )
+        if r < clusters.ROUNDS:
+            parts.append(
+                f"""s{r} AS (SELECT j, k, floor(sum(v) / count(*)) AS m FROM (SELECT best[2] AS j, unnest(x) AS v, unnest(range({size})) AS k FROM a{r} JOIN e USING (rid)) GROUP BY j, k),
+c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT j, list(m ORDER BY k) AS m FROM s{r} GROUP BY j) USING (j))"""
+            )
+    last = clusters.ROUNDS
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance, CAST(sum(best[1]) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string([CAST(v AS BIGINT) FOR v IN c], ',')) AS centroid_sha256
+FROM a{last} JOIN e USING (rid) JOIN c{last} ON j = best[2]"""
+    )
+
+
+CLUSTERS = _clusters()
+
+ORACLES = {
+    "op2_url_filter": URLS, "op4_near_duplicates": NEAR_DUPLICATES, "op8_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY,
+    "op11_spelling_variants": SPELLING, "op12_centroid_clusters": CLUSTERS,
+}

@@ -19,7 +19,6 @@ repeatedly; other columns are ignored; no documents give no pieces.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -29,11 +28,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SpanHasher, arrow_schema, in_worker, map_chunks, stored
+from .bpe import bpe
+from .common import arrow_schema, map_chunks, stored
 
 CAPACITY = 2048
 #: Tokens, and pieces, of a packing part at most, about (it holds tens of thousands of sequences).
 PART_TOKENS, PART_PIECES = 64 << 20, 1 << 20
+
+PIECES = 64 << 20, 1 << 20
 #: Distinct words whose ids a Python worker keeps (some 30 bytes each), and words encoded in one call.
 CACHE_WORDS, JOINED = 1_000_000, 512
 
@@ -41,134 +43,13 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
-#: White space other than the space and the line feed, in ASCII and beyond it.
-ODD_ASCII = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-ODD_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-class WordIds:
-    """Ids of words with a space in front, in flat arrays: sorted hashes, and where each word's ids stand.
-
-    Words are told apart by their 64-bit hash and their length. At most ``CACHE_WORDS``
-    are kept; then all are forgotten and learnt again.
-    """
-
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-        vocabulary = tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # how a byte-level vocabulary writes the space
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.sizes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def find(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Row of each word, -1 where it is not known."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        row = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where((self.keys[row] == hashes) & (self.sizes[row] == sizes), row, -1)
-
-    def learn(self, hashes: np.ndarray, sizes: np.ndarray, words: list[str]) -> None:
-        """Encode new words, joined by spaces: a token that opens with a space opens a word."""
-        texts = [" " + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
-        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(words):
-            raise RuntimeError("the tokenizer does not split at single spaces")
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        keys = np.concatenate([self.keys, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.sizes = keys[order], np.concatenate([self.sizes, sizes])[order]
-        self.at = np.concatenate([self.at, self.used + starts])[order]
-        self.n = np.concatenate([self.n, np.diff(starts, append=len(ids))])[order]
-        self.used += len(ids)
-
-
-class Encoder:
-    """Ids of texts by ``tokenizers``, where equal words are encoded once.
-
-    A byte-level BPE with the usual split pattern never merges across a single space
-    in front of a word. Plain texts (single spaces between words, no other white space
-    next to them, no special token) are cut there with numpy; distinct new words are
-    encoded together and the ids of all words gathered. Other texts are encoded whole.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known, self.hasher = WordIds(self.tokenizer), SpanHasher()
-        self.kind = np.zeros(256, np.uint8)
-        self.kind[[32, 10]] = 1, 2
-        self.kind[list(ODD_ASCII)] = 8
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _plain(self, texts: list[str], raw: np.ndarray, edges: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Which texts, ``raw[edge:end]`` each, may be cut at their spaces."""
-        kind = self.kind[raw]
-        ok = (ends > edges) & (kind[ends - 1] != 1)
-        kind[ends] = 0  # what separates the texts
-        near = kind[:-1] + kind[1:]
-        # a space beside another or beside a line feed, or white space of another kind
-        ok[np.searchsorted(edges, np.flatnonzero((kind[:-1] > 0) & (kind[1:] > 0) & (near < 4) | (near > 4)), "right") - 1] = False
-        whole = "\n".join(texts)
-        for mark in (*ODD_SPACE, *self.special):
-            if mark in whole:
-                ok &= [mark not in t for t in texts]
-        return ok
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text."""
-        parts = [t.encode("utf-8") for t in texts]
-        raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-        lengths = np.array([len(p) for p in parts], np.int64)
-        edges = np.cumsum(lengths + 1) - lengths - 1
-        ok = self._plain(texts, raw, edges, edges + lengths)
-        ends = np.flatnonzero(raw == 32)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(ends, edges + lengths, "right"), prepend=0))
-        within = ok[owner] & (starts > edges[owner])  # a text's first word has no space in front
-        starts, ends, owner = starts[within], ends[within], owner[within]
-        coded = pa.array(self.hasher(raw, starts, ends)).dictionary_encode()
-        hashes, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        some = np.zeros(len(hashes), np.int64)
-        some[code] = np.arange(len(code))  # a place of each distinct word
-        sizes = (ends - starts)[some]
-        if not np.array_equal(sizes[code], ends - starts):
-            raise RuntimeError("words of two lengths have one hash")
-        if len(self.known.keys) > CACHE_WORDS:
-            self.known.clear()
-        new = np.flatnonzero(self.known.find(hashes, sizes) < 0)
-        if len(new):
-            data = raw.tobytes()
-            words = [data[a:b].decode("utf-8") for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist())]
-            self.known.learn(hashes[new], sizes[new], words)
-        row = self.known.find(hashes, sizes)[code]
-        counts = self.known.n[row]
-        total = np.cumsum(counts)
-        ids = self.known.ids[np.repeat(self.known.at[row] - total + counts, counts) + np.arange(total[-1] if len(total) else 0)]
-        last = np.concatenate([[0], total])[np.searchsorted(owner, np.arange(len(texts) + 1))]
-        firsts = self._encode([t.partition(" ")[0] if fine else t for t, fine in zip(texts, ok.tolist())])
-        return [np.concatenate([first, ids[a:b]]) for first, a, b in zip(firsts, last[:-1].tolist(), last[1:].tolist())]
-
-
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """The pieces of every document with the checksum of their ids."""
     end = np.array([end_id], np.uint32)
 
     def cut(columns: list[list]) -> list[list]:
-        encoder = in_worker(f"encoder {tokenizer_path}", lambda: Encoder(tokenizer_path))
         rows = []
-        for doc, ids in zip(columns[0], encoder([t or "" for t in columns[1]])):
+        for doc, ids in zip(columns[0], bpe(tokenizer_path).encode([t or "" for t in columns[1]])):
             data = np.concatenate([ids, end]).astype("<u4").tobytes()
             n, at, piece = len(data) // 4, 0, 0
             while at < n:

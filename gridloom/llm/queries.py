@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .bpe import round_trip
 from .chat import digest_windows, format_conversations
+from .clusters import clustered
 from .common import read_table
 from .ctw import score_documents
 from .decontaminate import build_index, phrase_hits
@@ -17,6 +19,7 @@ from .licenses import scan_licenses
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_report
+from .spelling import variants
 from .urls import filter_urls
 
 
@@ -64,6 +67,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -71,6 +86,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op2_url_filter, op3_license_scan, op4_near_duplicates, op5_language_id, op6_html_extraction, op7_lm_scoring, op8_decontamination, op9_quality_rules, op10_best_fit_packing)
+    f.__name__: f for f in (op1_chat_windows, op2_url_filter, op3_license_scan, op4_near_duplicates, op5_language_id, op6_html_extraction, op7_lm_scoring, op8_decontamination, op9_quality_rules, op10_best_fit_packing, op11_spelling_variants, op12_centroid_clusters, op13_bpe_round_trip)
 }
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -25,7 +25,7 @@ def compare(spark, con, name, folder):
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     compare(spark, con, name, SF)
 
