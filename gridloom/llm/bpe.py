@@ -35,10 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_worker, map_chunks
+from .common import in_worker, map_chunks, spans_of
 
 #: Fragments whose ids a Python worker keeps (some 150 bytes each); all are forgotten beyond that number, or 64 bytes or 8 ids for each.
 CACHE_FRAGMENTS = 400_000
+#: New fragments encoded in one text.
+JOINED = 256
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -78,6 +80,7 @@ class ForcedBoundaryBPE:
         word = np.zeros(256, bool)
         word[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
         self.forced[~word, 0x27] = False
+        self.opens = self.forced[:, 0x20].tolist()
         sizes = np.array([len(self.tokens.get(i, b"")) for i in range(max(self.tokens) + 1)], np.int64)
         self.token_ends = np.cumsum(sizes)
         self.token_sizes = sizes
@@ -102,19 +105,30 @@ class ForcedBoundaryBPE:
         return at[fine]
 
     def _learn(self, fragments: list[bytes]) -> None:
-        """Encode new fragments and keep their ids."""
-        coded = [x.ids for x in self.tokenizer.encode_batch_fast([f.decode("utf-8") for f in fragments], add_special_tokens=False)]
-        n = np.array([len(x) for x in coded], np.int64)
-        first, total = len(self.rows), int(n.sum())
+        """Encode new fragments and keep their ids.
+
+        Many with a space in front are encoded in one text: between them is a forced boundary again, so ids end where they end.
+        """
+        # fragments that end in ASCII, which is neither white space nor a control character as the table has it
+        joined = [f[0] == 32 and f[-1] < 0x80 and self.opens[f[-1]] for f in fragments]
+        fragments = [f for f, j in zip(fragments, joined) if j] + [f for f, j in zip(fragments, joined) if not j]
+        together = sum(joined)
+        texts = [b"".join(fragments[k : min(k + JOINED, together)]).decode("utf-8") for k in range(0, together, JOINED)]
+        coded = [x.ids for x in self.tokenizer.encode_batch_fast(texts + [f.decode("utf-8") for f in fragments[together:]], add_special_tokens=False)]
+        found = np.fromiter((i for x in coded for i in x), np.uint32, sum(map(len, coded)))
+        last = np.cumsum(np.fromiter(map(len, fragments), np.int64, len(fragments)))
+        ends = np.searchsorted(np.cumsum(self.token_sizes[found]), last) + 1
+        n = np.diff(ends, prepend=0)
+        first, total = len(self.rows), len(found)
         while first + len(n) > len(self.n):
             self.at, self.n = np.concatenate([self.at, self.at]), np.concatenate([self.n, self.n])
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(self.used + total, np.uint32)])
         self.n[first : first + len(n)] = n
         self.at[first : first + len(n)] = self.used + np.cumsum(n) - n
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in coded for i in x), np.uint32, total)
+        self.ids[self.used : self.used + total] = found
         self.used += total
-        self.held += sum(map(len, fragments))
+        self.held += int(last[-1])
         self.rows.update(zip(fragments, range(first, first + len(n))))
 
     def _plain(self, parts: list[bytes]) -> list[np.ndarray]:
@@ -129,13 +143,13 @@ class ForcedBoundaryBPE:
         places = np.flatnonzero(ends)
         spans = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)])
         coded = spans.dictionary_encode()
-        fragments, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        fragments, code = spans_of(coded.dictionary), coded.indices.to_numpy()
         if len(self.rows) > self.cache or self.used > 8 * self.cache or self.held > 64 * self.cache:
             self.clear()
         new = [f for f in fragments if f not in self.rows]
         if new:
             self._learn(new)
-        row = np.fromiter((self.rows[f] for f in fragments), np.int64, len(fragments))[code]
+        row = np.fromiter(map(self.rows.__getitem__, fragments), np.int64, len(fragments))[code]
         counts = self.n[row]
         total = np.cumsum(counts)
         ids = self.ids[np.repeat(self.at[row] - total + counts, counts) + np.arange(total[-1])]

@@ -131,9 +131,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spans_of(array: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a dictionary without nulls; much faster than ``to_pylist``."""
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1].tolist()
+    held = data.to_pybytes() if data is not None else b""
+    return [held[a:b] for a, b in zip(at, at[1:])]
+
+
 def span_hashes(data: bytes, edges: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans of ``data`` between each edge and the next; equal spans are hashed once."""
     spans = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
     coded = spans.dictionary_encode()
-    found = coded.dictionary.to_pylist()
+    found = spans_of(coded.dictionary)
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))[coded.indices.to_numpy()]
