@@ -8,10 +8,12 @@ its host, and the blocks inside the winning container give the text. Menus, head
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never
 count.
 
-A container is furniture by its tag, or by a class, id or role that says so. A compound
-name with a word such as sidebar does not count where the container holds the page's
-main element or article or, on a page without these, most of its text: layouts are
-named after what stands beside the article.
+A container is furniture by its tag, or by a class, id or role that says so. A form, or
+a compound name with a word such as sidebar, does not count where the container holds
+the page's main element or article or, on a page without these, most of its text:
+layouts are named after what stands beside the article, and a form may be around the
+whole page. Paragraphs, list items and elements within a line are furniture by their
+names, too, with all that is in them.
 
 Text rules: character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined in page order by one space.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -52,6 +55,9 @@ STATES = frozenset("open closed enabled disabled on off visible active collapsed
 #: Elements that hold other blocks, and those that only end a block.
 CONTAINERS = frozenset("html body main article section div ul ol dl table tbody thead tfoot tr td th figure fieldset details center blockquote".split()) | FURNITURE
 BREAKS = frozenset("p br hr h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption caption summary legend option".split()) | CONTAINERS
+#: Elements that the next of them ends, and elements without an end.
+ITEMS = frozenset("li dt dd".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Containers that usually hold the article, and parts of names that say so.
 FAVOURED = frozenset("article main".split())
 GOOD = frozenset("article body content entry main post story text".split())
@@ -62,7 +68,10 @@ MIN_VOTES, MAX_BYTES = 0.1, 32 << 20
 SHARE, PATH_CHARS = 0.7, 400
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>", re.S)
-_NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after another, so that nothing inside a value counts as a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?|\"[^\"]*\"|'[^']*'")
+_NAMED = frozenset(("class", "id", "role", "hidden"))
+_HEAD_END = re.compile(r"</head\s*>|<body", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _HOST = re.compile(r"://([^/?#]*)", re.S)
 
@@ -93,7 +102,7 @@ class Node:
         self.outer = tag in WHOLE or tag == "article" and not (parent and parent.holds)
         self.holds = tag == "article" or parent is not None and parent.holds  # inside an article
         hint = 0 if self.outer else hinted(names)
-        self.skip, self.weak = hidden or tag in FURNITURE or hint == 2, hint == 1
+        self.skip, self.weak = hidden or tag in FURNITURE and tag != "form" or hint == 2, hint == 1 or tag == "form"
         self.label = ".".join([tag, *sorted(re.sub(r"\d+", "", c) for c in names.lower().split())])
         self.key = xxhash.xxh3_64_intdigest(self.label.encode("utf-8", "surrogatepass"), parent.key if parent else 0)
         self.weight = 2.0 if tag in FAVOURED or parts & GOOD else 0.5 if tag in ("html", "body") else 1.0
@@ -110,7 +119,18 @@ class Node:
 
 
 def _named(attributes: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)} if attributes else {}
+    """The attributes that tell what an element is; of repeated ones, the first."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        name = (m[1] or "").lower()
+        if name in _NAMED:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _furniture(named: dict[str, str], least: int) -> bool:
+    """Whether an element that is no container counts as furniture by its own names, or is hidden."""
+    return "hidden" in named or hinted(" ".join(named.values())) >= least
 
 
 def _judge(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
@@ -137,33 +157,46 @@ def read_page(source: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
     """Blocks (container, text, characters in links) in page order without furniture, and all containers, scored."""
     root = Node("", "", None, False)
     nodes, stack, blocks = [root], [root], []
+    opened: Counter = Counter()
     held: list[str] = []
-    linked, in_link, muted, at = 0, False, False, 0
+    linked, in_link, at, headless = 0, False, 0, False
+    # what mutes: the element's name, how many of that name are open in it, and how deep the stack was
+    mute, inner, depth, code = "", 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(held).split())
         held.clear()
-        if text and not muted:
+        if text:
             blocks.append((stack[-1], text, linked))
         linked = 0
 
     def put(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not mute:
             held.append(html.unescape(raw) if "&" in raw else raw)
             linked += len(raw) if in_link else 0
 
-    found = _TAG.search(source)
+    last = source.rfind(">") + 1  # no tag ends behind it
+    found = _TAG.search(source, 0, last)
     while found:
         put(source[at : found.start()])
         at = found.end()
         name = (found[2] or found[5] or "").lower()
         closing, attributes = found[1] or found[4], found[3] or found[6] or ""
+        block = name in BREAKS and name != "br"
         if name in BREAKS:
             flush()
-            if name != "br":  # a paragraph or list item may be furniture by its own names
-                muted = not closing and name not in CONTAINERS and name not in HEADINGS and bool(attributes) and hinted(" ".join(_named(attributes).values())) > 0
+        if mute:
+            if mute == "p":
+                mute = "" if block else mute
+            elif mute in ITEMS:
+                mute = "" if name in ITEMS and len(stack) <= depth else mute
+            elif name == mute:
+                inner += -1 if closing else 1
+                mute = mute if inner else ""
+        if name in ("pre", "code"):
+            code = max(0, code + (-1 if closing else 1))
         if name == "a":
             in_link = not closing
         elif name in RAW and not closing and not attributes.endswith("/"):
@@ -172,19 +205,26 @@ def read_page(source: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
         elif name in CONTAINERS:
             in_link = False
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == name:
-                        del stack[k:]
+                while opened[name]:
+                    opened[stack[-1].tag] -= 1
+                    if stack.pop().tag == name:
                         break
+                if len(stack) < depth:
+                    mute = ""  # what was left open ends with the element around it
             else:
                 named = _named(attributes)
-                node = Node(name, f"{named.get('class', '')} {named.get('id', '')} {named.get('role', '')}", stack[-1], "hidden" in named)
+                node = Node(name, f"{named.get('class', '')} {named.get('id', '')} {named.get('role', '')}", stack[-1], "hidden" in named or bool(mute))
                 nodes.append(node)
                 stack.append(node)
-        elif name == "head" and not closing:
-            end = re.compile(r"</head\s*>|<body", re.I).search(source, at)
-            at = end.start() if end else at
-        found = _TAG.search(source, at)
+                opened[name] += 1
+        elif name == "head" and not closing and not headless:
+            end = _HEAD_END.search(source, at)
+            at, headless = (end.start(), False) if end else (at, True)
+        if name and not mute and not closing and attributes and name not in CONTAINERS and name not in HEADINGS and name not in VOID and not (code and not block):
+            # compound names count for blocks only
+            if _furniture(_named(attributes), 1 if block else 2):
+                mute, inner, depth = name, 1, len(stack)
+        found = _TAG.search(source, at, last)
     put(source[at:])
     flush()
     blocks = _judge(nodes, blocks)

@@ -49,10 +49,30 @@ SUFFIXES = {
 #: Labels below a country that are registries, as in co.uk.
 REGISTRIES = frozenset("ac co com edu gob gov net ne nom or org".split())
 
-_TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z]+;", re.S | re.I)
+_MARKS, _ENTITIES = re.compile(r"<(script|style)\b|<[^>]*>|&[a-z]+;", re.I), re.compile(r"&[a-z]+;", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 _LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
 
 
+def without_markup(text: str) -> str:
+    """The text with a space for each tag, script, style and named character, in one pass over it."""
+    last, at, out, endless = text.rfind(">") + 1, 0, [], set()
+    found = _MARKS.search(text, 0, last)
+    while found:
+        out.append(text[at : found.start()])
+        at, name = found.end(), (found[1] or "").lower()
+        if name:
+            end = None if name in endless else _ENDS[name].search(text, at)
+            if end:
+                at = end.end()
+            else:  # never closed: only the tag goes
+                endless.add(name)
+                at = text.find(">", at) + 1
+        found = _MARKS.search(text, at, last)
+    out.append(_ENTITIES.sub(" ", text[at:]))
+    return " ".join(out)
+
+
 def trigrams(text: str) -> np.ndarray:
     """Hashed trigrams of the lower-cased letters of a text."""
     data = np.frombuffer(b" " + _LETTERS.sub(b" ", text.lower().encode("utf-8", "replace")) + b" ", np.uint8).astype(np.uint32)
@@ -64,11 +84,11 @@ def trigrams(text: str) -> np.ndarray:
 def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each bin) from columns text and lang."""
     keys = [c for c in ("doc_id", "lang", "text") if c in labelled.columns]
-    hashed = labelled.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64(*keys).alias("__gl_h"))
+    hashed = labelled.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64(*keys).alias("hash"))
     # the sample's largest hash comes from hashes alone, so no task gathers texts
-    last = hashed.select("__gl_h").distinct().orderBy("__gl_h").limit(max_fit).agg(F.max("__gl_h")).first()[0]
+    last = hashed.select("hash").distinct().orderBy("hash").limit(max_fit).agg(F.max("hash")).first()[0]
     # partial aggregation keeps one of equal rows in every task
-    sample = hashed.filter(F.col("__gl_h") <= F.lit(last)).groupBy("__gl_h").agg(F.first("text").alias("text"), F.first("lang").alias("lang")).select("text", "lang")
+    sample = hashed.filter(F.col("hash") <= F.lit(last)).groupBy("hash").agg(F.first("text").alias("text"), F.first("lang").alias("lang")).select("text", "lang")
 
     def count(columns: list[list]) -> list[list]:
         sums: dict[str, np.ndarray] = {}
@@ -106,7 +126,7 @@ def score_text(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: boo
         ids, texts, declared, address, hosts = columns
         means, sizes = [], []
         for text in texts:
-            found = trigrams(_TAGS.sub(" ", text) if markup and text else text or "")
+            found = trigrams(without_markup(text) if markup and text else text or "")
             letters = len(found)
             means.append(sent.value[found].sum(axis=0, dtype=np.float64) / letters if letters > 2 else np.zeros(len(langs)))
             sizes.append(letters if letters > 2 else 0)

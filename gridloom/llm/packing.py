@@ -128,7 +128,7 @@ def pack_pieces(pieces: DataFrame, parts: int, capacity: int = CAPACITY) -> Data
 
     ``pieces`` is a stored table: a row is dealt by its place too, so that equal rows spread over the parts.
     """
-    schema, row = arrow_schema(PACKED), "__gl_row"
+    schema, row = arrow_schema(PACKED), "row_number"
     placed = pieces.withColumn(row, F.monotonically_increasing_id())
     keys = ("doc_id", "piece", "ids_crc32", row)
     dealt = placed.repartition(parts, F.xxhash64(*keys)).sortWithinPartitions("length", *keys).drop(row)
