@@ -35,6 +35,18 @@ def running_total(df: DataFrame, keys: Sequence[str], value: Column, name: str,
     return local.join(F.broadcast(offsets), _PART).withColumn(name, whole).drop(_PART, _SUM, _BEFORE)
 
 
+def running_totals(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with several running sums in the order of ``keys`` at once."""
+    dealt = stored(df.repartitionByRange(*keys).withColumns({_PART: F.spark_partition_id()} | values), "dealt")
+    inner = Window.partitionBy(_PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({x: F.sum(x).over(inner) for x in values})
+    totals = dealt.groupBy(_PART).agg(*(F.sum(x).alias(x) for x in values))
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_PART, *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{_BEFORE}_{x}") for x in values))
+    whole = local.join(F.broadcast(offsets), _PART).withColumns({x: F.col(x) + F.col(f"{_BEFORE}_{x}") for x in values})
+    return whole.drop(_PART, *(f"{_BEFORE}_{x}" for x in values))
+
+
 def _flat(a: Array) -> Array:
     return a if a.ndim == 1 else a.relabel({"i0": a.flat()}, (a.size,))
 
