@@ -16,18 +16,76 @@ from ..functions.core import real
 from .linalg import gram
 
 
-def convolve(a: Array, kernel: Sequence[float], mode: str = "full") -> Array:
-    """With a short kernel: every element goes to as many sums as the kernel has weights, then one grouped sum."""
-    n, m = a.shape[0], len(kernel)
-    weights = F.array(*(F.lit(float(k)) for k in kernel))
-    terms = a.df.select("i0", "v", F.posexplode(weights).alias("__k", "__w"))
-    out = terms.groupBy((F.col("i0") + F.col("__k")).alias("i0")).agg(F.sum(F.col("v") * F.col("__w")).alias("v"))
+#: Kernels up to this are sent to every task; the least elements of a block, and kernels up to this are summed directly.
+MAX_KERNEL, BLOCK, DIRECT = 1 << 16, 1 << 14, 512
+
+
+def convolve(a: Array, kernel: Sequence[float] | Array, mode: str = "full", max_kernel: int = MAX_KERNEL) -> Array:
+    """Convolution of two arrays of any length.
+
+    With a kernel (the shorter of the two) of at most ``max_kernel`` elements, the array is dealt
+    in blocks, each with as many elements of the block before as the kernel reaches back: one
+    shuffle. Longer kernels go through transforms of both.
+    """
+    n, m = a.shape[0], kernel.shape[0] if isinstance(kernel, Array) else len(kernel)
+    if not n or not m:
+        raise ValueError("an array to convolve is empty")
+    if isinstance(kernel, Array):
+        long, short = (a, kernel) if m <= n else (kernel, a)
+        if short.shape[0] <= max_kernel:
+            weights = np.zeros(short.shape[0])  # at most max_kernel rows come to the driver
+            for r in short.df.select("i0", "v").collect():
+                weights[r[0]] = r[1]
+            out = _by_blocks(long, weights)
+        else:
+            out = _by_transforms(long, short)
+    else:
+        out = _by_blocks(a, np.asarray(kernel, float))
     low, size = {"full": (0, n + m - 1), "same": ((min(n, m) - 1) // 2, max(n, m)), "valid": (min(n, m) - 1, max(n, m) - min(n, m) + 1)}[mode]
     kept = out.filter((F.col("i0") >= low) & (F.col("i0") < low + size))
     return Array(kept.select((F.col("i0") - low).alias("i0"), "v"), (size,))
 
 
-def correlate(a: Array, kernel: Sequence[float], mode: str = "full") -> Array:
+def _by_blocks(a: Array, weights: np.ndarray) -> DataFrame:
+    """The full convolution: every block gets its elements and those that reach into it."""
+    n, m = a.shape[0], len(weights)
+    size = max(BLOCK, 1 << (4 * m).bit_length())
+    own = F.floor(F.col("i0") / size)
+    reaches = F.col("i0") % size >= size - (m - 1)
+    spread = a.df.select("i0", F.col("v").cast("double").alias("v"), F.explode(F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own))).alias("__b"))
+
+    def run(table: pa.Table) -> pa.Table:
+        low = table.column("__b")[0].as_py() * size
+        dense = np.zeros(size + m - 1)
+        dense[table.column("i0").to_numpy() - low + m - 1] = table.column("v").to_numpy()
+        if m <= DIRECT or not np.isfinite(dense).all():
+            out = np.convolve(dense, weights, "valid")
+        else:
+            length = 1 << (len(dense) + m).bit_length()
+            out = np.fft.irfft(np.fft.rfft(dense, length) * np.fft.rfft(weights, length), length)[m - 1 : m - 1 + size]
+        out = out[: max(0, n + m - 1 - low)]
+        return pa.table({"i0": np.arange(low, low + len(out)), "v": out})
+
+    return spread.groupBy("__b").applyInArrow(run, "i0 bigint, v double")
+
+
+def _by_transforms(a: Array, b: Array) -> DataFrame:
+    """The full convolution as the product of two transforms."""
+    from .fourier import fft, ifft
+
+    size = a.shape[0] + b.shape[0] - 1
+    length = 1 << size.bit_length()
+    left, right = (fft(Array(x.df.select("i0", F.col("v").cast("double").alias("v")), (length,))).df for x in (a, b))
+    x, y = F.col("v"), F.col("w")
+    product = F.struct((x["re"] * y["re"] - x["im"] * y["im"]).alias("re"), (x["re"] * y["im"] + x["im"] * y["re"]).alias("im"))
+    both = left.join(right.withColumnRenamed("v", "w"), "i0").select("i0", product.alias("v"))
+    return ifft(Array(both, (length,))).df.filter(F.col("i0") < size).select("i0", x["re"].alias("v"))
+
+
+def correlate(a: Array, kernel: Sequence[float] | Array, mode: str = "full", max_kernel: int = MAX_KERNEL) -> Array:
+    if isinstance(kernel, Array):
+        m = kernel.shape[0]
+        return convolve(a, kernel.relabel({"i0": F.lit(m - 1) - F.col("i0")}, (m,)), mode, max_kernel)
     return convolve(a, list(reversed(kernel)), mode)
 
 
