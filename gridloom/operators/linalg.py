@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..arrays import Array, axis_name, array
+from . import tall, tiles
 from .shape import diagonal, elementwise, reshape
 
 
@@ -28,8 +29,8 @@ LinAlgError = np.linalg.LinAlgError
 def einsum(subscripts: str, *operands: Array) -> Array:
     """Einstein summation: joins on shared letters, then one grouped sum.
 
-    Operands are contracted from left to right; a letter needed neither later nor in
-    the result is summed away at once, which keeps intermediate results small.
+    Operands are contracted two at a time in the order of :func:`einsum_path`; a letter
+    needed neither by the others nor in the result is summed away at once.
     """
     inputs, _, output = subscripts.replace(" ", "").partition("->")
     terms = inputs.split(",")
@@ -47,24 +48,83 @@ def einsum(subscripts: str, *operands: Array) -> Array:
                 df = df.filter(F.col(axis_name(at[0])) == F.col(axis_name(k)))
         return df.select(*(F.col(axis_name(term.index(x))).alias(name(x)) for x in sorted(set(term))), F.col("v").alias("__v"))
 
-    now, have = frame(terms[0], operands[0]), set(terms[0])
-    for k in range(len(terms)):
-        if k:
-            nxt, letters = frame(terms[k], operands[k]), set(terms[k])
-            common = sorted(map(name, have & letters))
-            nxt = nxt.withColumnRenamed("__v", "__w")
-            now = (now.join(nxt, common) if common else now.crossJoin(nxt)).withColumn("__v", F.col("__v") * F.col("__w")).drop("__w")
-            have |= letters
-        needed = set(output).union(*map(set, terms[k + 1 :]))
+    left = [(frame(t, a), set(t)) for t, a in zip(terms, operands)]
+
+    def reduced(df: DataFrame, have: set[str]) -> tuple[DataFrame, set[str]]:
+        needed = set(output).union(*(x for _, x in left))
         if have - needed:
             have &= needed
-            now = now.groupBy(*sorted(map(name, have))).agg(F.sum("__v").alias("__v"))
+            df = df.groupBy(*sorted(map(name, have))).agg(F.sum("__v").alias("__v"))
+        return df, have
+
+    for i, j in einsum_path(subscripts, *operands):
+        (nxt, letters), (now, have) = left.pop(max(i, j)), left.pop(min(i, j))
+        common = sorted(map(name, have & letters))
+        nxt = nxt.withColumnRenamed("__v", "__w")
+        now = (now.join(nxt, common) if common else now.crossJoin(nxt)).withColumn("__v", F.col("__v") * F.col("__w")).drop("__w")
+        left.append(reduced(now, have | letters))
+    now = reduced(*left.pop())[0]
     return Array(now.select(*(F.col(name(x)).alias(axis_name(k)) for k, x in enumerate(output)), F.col("__v").alias("v")), tuple(sizes[x] for x in output))
 
 
+#: Operands up to which every order is weighed; beyond, the cheapest pair is taken each time.
+MOST_OPERANDS = 9
+
+
 def einsum_path(subscripts: str, *operands: Array) -> list[tuple[int, int]]:
-    """Contractions run from left to right."""
-    return [(0, 1)] * (len(operands) - 1)
+    """Pairs of places to contract, each result going to the end of the list.
+
+    The order has the fewest rows in all joins and sums together, by the sizes of the axes: found over
+    all subsets of the operands, or pair by pair for many operands.
+    """
+    inputs, _, output = subscripts.replace(" ", "").partition("->")
+    terms = inputs.split(",")
+    if "->" not in subscripts:
+        letters = inputs.replace(",", "")
+        output = "".join(x for x in set(letters) if letters.count(x) == 1)
+    sizes = {x: n for t, a in zip(terms, operands) for x, n in zip(t, a.shape)}
+    n = len(terms)
+
+    def rows(letters: frozenset[str]) -> int:
+        return math.prod(sizes[x] for x in letters)
+
+    def kept(members: int) -> frozenset[str]:
+        """The letters of a contracted subset that others or the result need."""
+        inside = set().union(*(terms[k] for k in range(n) if members >> k & 1))
+        outside = set(output).union(*(terms[k] for k in range(n) if not members >> k & 1))
+        return frozenset(inside & outside if members & (members - 1) else inside)
+
+    def cost(a: int, b: int) -> int:
+        return rows(kept(a) | kept(b)) + rows(kept(a | b))
+
+    if n <= MOST_OPERANDS:
+        best: dict[int, tuple[int, list]] = {1 << k: (0, []) for k in range(n)}
+        for members in sorted(range(1, 1 << n), key=int.bit_count):
+            part = (members - 1) & members
+            while part:
+                other = members ^ part
+                if part > other:  # each split once
+                    total = best[part][0] + best[other][0] + cost(part, other)
+                    if members not in best or total < best[members][0]:
+                        best[members] = (total, [*best[other][1], *best[part][1], (other, part)])
+                part = (part - 1) & members
+        steps = best[(1 << n) - 1][1]
+    else:
+        now, steps = [1 << k for k in range(n)], []
+        while len(now) > 1:
+            a, b = min(((x, y) for k, x in enumerate(now) for y in now[k + 1 :]), key=lambda p: cost(*p))
+            now = [x for x in now if x not in (a, b)] + [a | b]
+            steps.append((a, b))
+    now, path = [1 << k for k in range(n)], []
+    for a, b in steps:
+        i, j = sorted((now.index(a), now.index(b)))
+        path.append((i, j))
+        now = [x for x in now if x not in (a, b)] + [a | b]
+    return path
+
+
+#: Products of scalars from which a matrix product goes by tiles.
+TILED = 1 << 24
 
 
 def matmul(a: Array, b: Array) -> Array:
@@ -76,6 +136,8 @@ def matmul(a: Array, b: Array) -> Array:
         return einsum("ab,b->a", a, b)
     if a.shape[-1] != b.shape[-2]:
         raise ValueError(f"cannot multiply {a.shape} by {b.shape}")
+    if a.ndim == b.ndim == 2 and a.shape[0] * a.shape[1] * b.shape[1] >= TILED and {a.dtype, b.dtype} <= {"double", "float"}:
+        return tiles.matmul(a, b)
     batch = "cdefgh"[: max(a.ndim, b.ndim) - 2]
     return einsum(f"{batch[len(batch) - a.ndim + 2 :]}ij,{batch[len(batch) - b.ndim + 2 :]}jk->{batch}ik", a, b)
 
@@ -303,13 +365,15 @@ def gram(df: DataFrame, names: Sequence[str]) -> np.ndarray:
     return out
 
 
-def lstsq(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, float, int, np.ndarray]:
-    """(coefficients, residual sum, rank, singular values) of a tall least-squares problem."""
-    g = gram(df, [*features, target])
-    xtx, xty, yty = g[:-1, :-1], g[:-1, -1], g[-1, -1]
-    x, _, rank, _ = np.linalg.lstsq(xtx, xty, rcond=None)
-    values = np.sqrt(np.clip(np.linalg.eigvalsh(xtx), 0, None))[::-1]
-    return x, float(yty - 2 * x @ xty + x @ xtx @ x), int(rank), values
+def lstsq(a: DataFrame | Array, b: Sequence[str] | Array, target: str | None = None, rcond: float | None = None) -> tuple[np.ndarray, Any, int, np.ndarray]:
+    """(solution, residual sum, rank, singular values) of a tall least-squares problem, by a tree of triangular factors.
+
+    Of two arrays, or of a DataFrame with feature columns and a target.
+    """
+    if isinstance(a, Array):
+        return tall.lstsq(a, b, rcond)
+    x, residuals, rank, values = tall.lstsq_columns(a, list(b), [target], rcond)
+    return x[:, 0], float(residuals[0]), rank, values
 
 
 def svdvals_tall(df: DataFrame, names: Sequence[str]) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..arrays import Array, axis_name, number_rows
 from ..functions.core import real
+from .selection import partitioned
 
 
 def sort(a: Array, axis: int = -1) -> Array:
@@ -34,11 +35,15 @@ def _ranked(a: Array, axis: int, take: str) -> Array:
 
 
 def partition(a: Array, kth: int, axis: int = -1) -> Array:
-    """The kth value in its sorted place; a full sort meets that."""
+    """The kth value in its sorted place, smaller ones before it: by selection for a 1-D array, in a lane's window else."""
+    if a.ndim == 1:
+        return Array(partitioned(a, kth).select("i0", "v"), a.shape)
     return sort(a, axis)
 
 
 def argpartition(a: Array, kth: int, axis: int = -1) -> Array:
+    if a.ndim == 1:
+        return Array(partitioned(a, kth).select("i0", F.col("was").alias("v")), a.shape)
     return argsort(a, axis)
 
 

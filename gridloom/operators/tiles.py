@@ -53,7 +53,7 @@ def multiply(a: DataFrame, b: DataFrame, rows: int, cols: int, tile: int = TILE,
 
     A result tile for which no tiles meet is lacking, that is zero.
     """
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint")
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     left = a.select("ti", F.col("tj").alias("k"), F.lit(0).alias("side"), "data").withColumn("tj", copies(cols))
     right = b.select(F.col("ti").alias("k"), "tj", F.lit(1).alias("side"), "data").withColumn("ti", copies(rows))
     both = left.unionByName(right).withColumn("part", F.floor(F.col("k") / stretch))

@@ -59,4 +59,4 @@ def projection(name: str, table: str, key: str, values: dict[str, str], column:
     ORACLES[name] = f"SELECT {key}, {value} AS value FROM (SELECT {key}, {inputs} FROM {table})"
 
 
-from . import arrays, elementwise, groups, more  # noqa: E402,F401  they register their queries
+from . import arrays, elementwise, groups, long, more  # noqa: E402,F401  they register their queries
