@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..arrays import Array, array, from_function
+from ..functions import complexes, dtypes
 from ..operators import fourier, linalg, shape
-from .arrays import _register
-from .catalog import query, rounded
+from ..operators.random import Generator
+from .arrays import _register, matrix
+from .catalog import query, read, rounded
 from .long import signal
 
 _SERIES = "list_sum([pow(25 * (1 - pow(2.0 * i / (n - 1) - 1, 2)) / 4, k) / pow(factorial(k::INT)::DOUBLE, 2) FOR k IN range(20)]) / list_sum([pow(25 / 4.0, k) / pow(factorial(k::INT)::DOUBLE, 2) FOR k IN range(20)])"
@@ -121,6 +123,41 @@ for _name, _build, _sql in (
     ("matrix_power", lambda s, a: linalg.matrix_power(_gram(s, a), 2), f"SELECT a.i0, b.i1, $V(sum(a.v * b.v))V$ AS v FROM {_G} a JOIN {_G} b ON a.i1 = b.i0 GROUP BY a.i0, b.i1"),
     ("matrix_rank", lambda s, a: linalg.matrix_rank(_gram(s, a)), "SELECT count(DISTINCT i1)::DOUBLE AS v FROM m"),
     ("eigvalsh", lambda s, a: Array(linalg.eigvalsh(_gram(s, a)).df.agg(F.sum("v").alias("v")), ()), f"SELECT $V(sum(v))V$ AS v FROM {_G} WHERE i0 = i1"),
+    ("det", lambda s, a: linalg.det(_gram(s, a)[:2, :2]), f"SELECT $V(max(v) FILTER (i0 = 0 AND i1 = 0) * max(v) FILTER (i0 = 1 AND i1 = 1) - pow(max(v) FILTER (i0 = 0 AND i1 = 1), 2))V$ AS v FROM {_G}"),
     ("svdvals", lambda s, a: Array(linalg.svdvals(a.map(lambda v: v / 1000)).df.agg(F.sum(F.col("v") * F.col("v")).alias("v")), ()), "SELECT $V(sum(v * v) / 1e6)V$ AS v FROM m"),
 ):
     _register(_name, _build, _sql, 2)
+
+
+@query("SELECT count(*) AS n, true AS centred, true AS spread FROM orders")
+def random_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw for each order: their number, and whether mean and deviation are within five errors of 0 and 1."""
+    prices = signal(spark, sf_dir, "o_totalprice", "orders", "o_orderkey")
+    both = Generator(spark, 42).normal(0.0, 1.0, size=prices.shape).df.join(prices.df.select("i0"), "i0")
+    found = both.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
+    return found.select("n", (F.abs("mean") < 5 / F.sqrt("n")).alias("centred"), (F.abs(F.col("deviation") - 1) < 5 / F.sqrt(2 * F.col("n"))).alias("spread"))
+
+
+@query("SELECT bool_and(v < 1e7) AS close FROM (SELECT o_totalprice AS v FROM orders)")
+def real_if_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imaginary parts that are rounding errors of the values."""
+    prices = signal(spark, sf_dir, "o_totalprice", "orders", "o_orderkey")
+    return prices.df.agg(complexes.real_if_close(complexes.make(F.col("v"), F.col("v") * 1e-22)).alias("close"))
+
+
+@query("SELECT count(*) AS n, 2 AS dims FROM nation, range(12)")
+def size_and_ndim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of the matrix, counted, where the shape says as many."""
+    a = matrix(spark, sf_dir)
+    return a.df.agg(F.count("*").alias("n")).filter(F.col("n") == dtypes.size(a)).withColumn("dims", F.lit(dtypes.ndim(a)))
+
+
+@query("SELECT 'float64' AS promoted, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL")
+def type_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common type of two columns of a table, and how many values have it."""
+    kinds = {"bigint": "int64", "double": "float64", "int": "int32"}
+    rows = read(spark, sf_dir, "orders")
+    key, price = (kinds[dict(rows.dtypes)[c]] for c in ("o_orderkey", "o_totalprice"))
+    if not dtypes.can_cast(key, key) or not dtypes.issubdtype(key, "integer"):
+        raise TypeError(key)
+    return rows.filter("o_totalprice is not null").agg(F.lit(dtypes.promote_types(key, price)).alias("promoted"), F.count("*").alias("n")).select("promoted", "n")

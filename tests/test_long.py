@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.arrays import Array, array
-from gridloom.operators import fourier, numeric, scans, selection, tall, tiles
+from gridloom.operators import fourier, linalg, numeric, scans, selection, tall, tiles
 
 N = 1 << 20
 
@@ -174,3 +174,21 @@ def test_tiled_product(spark):
         close(numpy_of(tiles.matmul(cells(a), cells(b), tile)), a @ b, 1e2)
     with pytest.raises(ValueError):
         tiles.matmul(cells(a), cells(a))
+
+
+def test_contraction_order(spark, monkeypatch):
+    """The cheapest order first, and the same result; large products go by tiles."""
+    rng = np.random.default_rng(10)
+    x = [rng.normal(size=s) for s in ((2, 30), (30, 40), (40, 3), (3,))]
+    arrays = [array(spark, v) for v in x]
+    assert linalg.einsum_path("ab,bc,cd,d->a", *arrays)[0] == (2, 3)
+    np.testing.assert_allclose(linalg.einsum("ab,bc,cd,d->a", *arrays).collect(), np.einsum("ab,bc,cd,d->a", *x), rtol=1e-10)
+    np.testing.assert_allclose(linalg.einsum("ab,cd,bc", *arrays[:1], arrays[2], arrays[1]).collect(), np.einsum("ab,cd,bc", x[0], x[2], x[1]), rtol=1e-10)
+    assert linalg.einsum_path("ab->a", arrays[0]) == []
+    many = [array(spark, np.eye(2))] * 10
+    letters = "abcdefghijk"
+    assert len(linalg.einsum_path(",".join(letters[k : k + 2] for k in range(10)) + "->ak", *many)) == 9
+    monkeypatch.setattr(linalg, "TILED", 100)
+    np.testing.assert_allclose(linalg.matmul(arrays[0], arrays[1]).collect(), x[0] @ x[1], rtol=1e-10)
+    solution, *_ = linalg.lstsq(arrays[2], array(spark, x[2] @ x[3]))
+    np.testing.assert_allclose(solution, x[3], rtol=1e-9)
