@@ -4,7 +4,9 @@ Products of any size run as an equi-join on the contracted index and a grouped s
 Dense factorisations (LU, QR, SVD, eigenvalues) have no relational form: a batch of
 small matrices, one for each value of the batch columns, goes through
 ``applyInArrow`` by batch; a single tall matrix is reduced to its Gram matrix by one
-aggregation first (:func:`lstsq`, :func:`svdvals_tall`, :func:`qr_tall`).
+aggregation first (:func:`lstsq`, :func:`svdvals_tall`, :func:`qr_tall`). One square
+matrix with a side of over ``SIDE`` goes by tiles (:mod:`blocked`) for ``solve``,
+``inv``, ``det``, ``slogdet`` and ``cholesky``.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..arrays import Array, axis_name, array
-from . import tall, tiles
+from . import blocked, tall, tiles
 from .shape import diagonal, elementwise, reshape
 
 
@@ -301,10 +303,28 @@ def _rank(m: np.ndarray) -> np.ndarray:
     return np.asarray(float(np.linalg.matrix_rank(m)))
 
 
-inv = _dense(np.linalg.inv, lambda s: s)
-det = _dense(lambda m: np.asarray(np.linalg.det(m)), lambda s: ())
-slogdet = _dense(lambda m: np.asarray(np.linalg.slogdet(m)), lambda s: (2,))
-cholesky = _dense(np.linalg.cholesky, lambda s: s)
+#: Side of a matrix up to which one task factors it.
+SIDE = 2048
+
+
+def _large(a: Array) -> bool:
+    return a.ndim == 2 and a.shape[0] == a.shape[1] > SIDE
+
+
+def _by_size(small: Callable[[Array], Array], large: Callable[[Array], Any]) -> Callable[[Array], Array]:
+    def apply(a: Array) -> Array:
+        if not _large(a):
+            return small(a)
+        out = large(a)
+        return out if isinstance(out, Array) else array(a.df.sparkSession, out)
+
+    return apply
+
+
+inv = _by_size(_dense(np.linalg.inv, lambda s: s), blocked.inv)
+det = _by_size(_dense(lambda m: np.asarray(np.linalg.det(m)), lambda s: ()), blocked.det)
+slogdet = _by_size(_dense(lambda m: np.asarray(np.linalg.slogdet(m)), lambda s: (2,)), blocked.slogdet)
+cholesky = _by_size(_dense(np.linalg.cholesky, lambda s: s), blocked.cholesky)
 pinv = _dense(np.linalg.pinv, lambda s: s[::-1])
 eigvalsh = _dense(np.linalg.eigvalsh, lambda s: (s[0],))
 svdvals = _dense(lambda m: np.linalg.svd(m, compute_uv=False), lambda s: (min(s),))
@@ -334,6 +354,8 @@ def eig(a: Array) -> tuple[Array, Array]:
 
 def solve(a: Array, b: Array) -> Array:
     """a x = b for one matrix: the right sides ride along as extra columns."""
+    if _large(a):
+        return blocked.solve(a, b)
     n, wide = a.shape[-1], b if b.ndim == 2 else reshape(b, [b.shape[0], 1])
     from .shape import concatenate
 

@@ -59,4 +59,4 @@ def projection(name: str, table: str, key: str, values: dict[str, str], column:
     ORACLES[name] = f"SELECT {key}, {value} AS value FROM (SELECT {key}, {inputs} FROM {table})"
 
 
-from . import arrays, elementwise, groups, more, long, applied  # noqa: E402,F401  isort: skip  the last replace constructors alone
+from . import arrays, elementwise, factors, groups, more, long, applied  # noqa: E402,F401  isort: skip  the last replace constructors alone

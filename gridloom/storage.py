@@ -33,3 +33,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Alternating:
+    """The table of an iteration, kept in two places of the shared folder by turns.
+
+    What is put may read what was put last, and replaces what was put before that:
+    a long iteration keeps two copies. Only the table put last may be read later on.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.turn = spark, 0
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        at, self.turn = f"{self.path}-{self.turn}", 1 - self.turn
+        df.write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
