@@ -6,7 +6,9 @@ small matrices, one for each value of the batch columns, goes through
 ``applyInArrow`` by batch; a single tall matrix is reduced to its Gram matrix by one
 aggregation first (:func:`lstsq`, :func:`svdvals_tall`, :func:`qr_tall`). One square
 matrix with a side of over ``SIDE`` goes by tiles (:mod:`blocked`) for ``solve``,
-``inv``, ``det``, ``slogdet`` and ``cholesky``.
+``inv``, ``det``, ``slogdet`` and ``cholesky``; a longer one with few columns by
+triangular factors (:mod:`tall`) for singular values, condition and rank. Leading pairs
+of matrices of any size are in :mod:`leading`.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..arrays import Array, axis_name, array
-from . import blocked, tall, tiles
+from . import blocked, leading, tall, tiles
 from .shape import diagonal, elementwise, reshape
 
 
@@ -248,6 +250,9 @@ def matrix_norm(a: Array, ord: Any = None) -> Array:  # noqa: A002
         kept = "i1" if abs(ord) == 1 else "i0"
         sums = a.df.groupBy(kept).agg(F.sum(F.abs("v")).alias("s"))
         return Array(sums.agg((F.max("s") if ord > 0 else F.min("s")).alias("v")), ())
+    if ord == 2 and _large(a):
+        values = leading.svd(a, 1).values
+        return array(a.df.sparkSession, float(values[0]) if len(values) else 0.0)
     values = svdvals(a)
     f = {"nuc": F.sum, 2: F.max, -2: F.min}[ord]
     return Array(values.df.agg(f("v").alias("v")), ())
@@ -311,9 +316,13 @@ def _large(a: Array) -> bool:
     return a.ndim == 2 and a.shape[0] == a.shape[1] > SIDE
 
 
-def _by_size(small: Callable[[Array], Array], large: Callable[[Array], Any]) -> Callable[[Array], Array]:
+def _long(a: Array) -> bool:
+    return a.ndim == 2 and a.shape[0] > SIDE >= a.shape[1]
+
+
+def _by_size(small: Callable[[Array], Array], large: Callable[[Array], Any], which: Callable[[Array], bool] = _large) -> Callable[[Array], Array]:
     def apply(a: Array) -> Array:
-        if not _large(a):
+        if not which(a):
             return small(a)
         out = large(a)
         return out if isinstance(out, Array) else array(a.df.sparkSession, out)
@@ -327,9 +336,9 @@ slogdet = _by_size(_dense(lambda m: np.asarray(np.linalg.slogdet(m)), lambda s:
 cholesky = _by_size(_dense(np.linalg.cholesky, lambda s: s), blocked.cholesky)
 pinv = _dense(np.linalg.pinv, lambda s: s[::-1])
 eigvalsh = _dense(np.linalg.eigvalsh, lambda s: (s[0],))
-svdvals = _dense(lambda m: np.linalg.svd(m, compute_uv=False), lambda s: (min(s),))
-matrix_rank = _dense(_rank, lambda s: ())
-cond = _dense(lambda m: np.asarray(np.linalg.cond(m)), lambda s: ())
+svdvals = _by_size(_dense(lambda m: np.linalg.svd(m, compute_uv=False), lambda s: (min(s),)), tall.svdvals, _long)
+matrix_rank = _by_size(_dense(_rank, lambda s: ()), lambda a: float(tall.matrix_rank(a)), _long)
+cond = _by_size(_dense(lambda m: np.asarray(np.linalg.cond(m)), lambda s: ()), tall.cond, _long)
 eigvals = _dense(np.linalg.eigvals, lambda s: (s[0],), complex_=True)
 
 

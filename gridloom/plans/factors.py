@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..arrays import Array
-from ..operators import blocked, windows
+from ..operators import blocked, leading, windows
 from .catalog import query, read, rounded
 
 _TILE = 128
@@ -71,3 +71,54 @@ def slogdet_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in reverse are as many swaps as half the rows."""
     sign, log = blocked.slogdet(minima(spark, sf_dir, True), _TILE)
     return spark.createDataFrame([(float(sign), log)], "sign double, log double").withColumn("log", rounded(F.col("log"), 6))
+
+
+# x y' + y x' has two eigenvalues, x . y with the product of the lengths added or taken away
+
+
+_XY = "WITH s AS (SELECT s_suppkey - (SELECT min(s_suppkey) FROM supplier) AS i, s_acctbal / 1e3 AS x, s_nationkey / 1e1 AS y FROM supplier), r AS (SELECT sum(x * y) AS xy, sqrt(sum(x * x)) AS lx, sqrt(sum(y * y)) AS ly FROM s) "
+
+
+def _suppliers_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "supplier")
+    first = rows.agg(F.min("s_suppkey")).first()[0]
+    return rows.selectExpr(f"s_suppkey - {first} AS i", "s_acctbal / 1e3 AS x", "s_nationkey / 1e1 AS y")
+
+
+def symmetric(spark: SparkSession, sf_dir: str) -> Array:
+    rows = _suppliers_xy(spark, sf_dir)
+    n = rows.count()
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    every = rows.withColumn("j", at).join(rows.select(F.col("i").alias("j"), F.col("x").alias("p"), F.col("y").alias("q")), "j")
+    return Array(every.selectExpr("CAST(i AS BIGINT) AS i0", "CAST(j AS BIGINT) AS i1", "x * q + y * p AS v"), (n, n))
+
+
+@query(_XY + "SELECT CAST(row_number() OVER (ORDER BY abs(v) DESC) - 1 AS BIGINT) AS i0, round(v, 4) + 0.0 AS v FROM (SELECT unnest([xy + lx * ly, xy - lx * ly]) AS v FROM r)")
+def eigenvalues_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = leading.eigh(symmetric(spark, sf_dir), 2, _TILE).values
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "i0 bigint, v double").withColumn("v", rounded(F.col("v"), 4) + 0.0)
+
+
+@query(_XY + ", w AS (SELECT i, x / lx + y / ly AS v FROM s, r) SELECT CAST(i AS BIGINT) AS i0, round(v * v / (SELECT sum(v * v) FROM w), 6) + 0.0 AS v FROM w")
+def eigenvector_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of the first vector's elements, which have no sign to choose."""
+    found = leading.eigh(symmetric(spark, sf_dir), 1, _TILE).vectors
+    return found.df.select("i0", (rounded(F.col("v") * F.col("v"), 6) + 0.0).alias("v"))
+
+
+_ORDERS = """WITH s AS (SELECT o_orderkey, o_totalprice / 1e5 AS x, o_custkey / 1e2 AS y FROM orders), r AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c FROM s),
+t AS (SELECT a, b, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l FROM r) """
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> Array:
+    rows = read(spark, sf_dir, "orders")
+    cells = rows.selectExpr("o_orderkey AS i0", "posexplode(array(o_totalprice / 1e5, o_custkey / 1e2)) AS (i1, v)")
+    return Array(cells.select("i0", F.col("i1").cast("bigint").alias("i1"), "v"), (rows.agg(F.max("o_orderkey")).first()[0] + 1, 2))
+
+
+@query(_ORDERS + "SELECT o_orderkey AS i0, round(power(x * b + y * (l - a), 2) / (b * b + (l - a) * (l - a)) / l, 7) + 0.0 AS v FROM s, t")
+def singular_vector_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of the first left vector, an element for each order."""
+    found = leading.svd(_orders(spark, sf_dir), 1, _TILE).left
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i0"))
+    return found.df.join(rows, "i0", "left_semi").select("i0", (rounded(F.col("v") * F.col("v"), 7) + 0.0).alias("v"))

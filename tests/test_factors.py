@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from gridloom.arrays import Array
-from gridloom.operators import blocked
+from gridloom.operators import blocked, leading, linalg
 
 
 def cells(spark, x):
@@ -69,3 +69,51 @@ def test_singular_and_sparse(spark):
         blocked.inv(bad, 8)
     with pytest.raises(np.linalg.LinAlgError):
         blocked.inv(cells(spark, np.ones((2, 3))), 8)
+
+
+def test_leading_eigenpairs(spark):
+    """Both signs, a million elements, and a matrix of zeros."""
+    rng = np.random.default_rng(4)
+    n = 1030
+    q, _ = np.linalg.qr(rng.normal(size=(n, n)))
+    values = np.r_[10.0, -9.0, 7.0, 3.0, rng.uniform(-0.5, 0.5, n - 4)]
+    x = q * values @ q.T
+    x = (x + x.T) / 2
+    found = leading.eigh(cells(spark, x), 4)
+    np.testing.assert_allclose(found.values, [10, -9, 7, 3], atol=1e-8)
+    v = dense(found.vectors)
+    assert np.abs(x @ v - v * found.values).max() < 1e-7 and np.abs(v.T @ v - np.eye(4)).max() < 1e-10
+    nothing = leading.eigh(cells(spark, np.zeros((5, 5))), 2, 4)
+    assert nothing.values.size == 0 and nothing.vectors.df.count() == 0
+    with pytest.raises(np.linalg.LinAlgError):
+        leading.eigh(cells(spark, np.diag(np.linspace(1, 1.01, 60))), 3, 16, rounds=2)
+
+
+@pytest.mark.parametrize("n, m, tile", [(3000, 350, 256), (90, 200, 32)])
+def test_leading_singular_values(spark, n, m, tile):
+    rng = np.random.default_rng(n)
+    u, _ = np.linalg.qr(rng.normal(size=(n, 12)))
+    w, _ = np.linalg.qr(rng.normal(size=(m, 12)))
+    x = u * np.logspace(3, -2, 12) @ w.T
+    found = leading.svd(cells(spark, x), 5, tile)
+    np.testing.assert_allclose(found.values, np.logspace(3, -2, 12)[:5], rtol=1e-9)
+    left, right = dense(found.left), dense(found.vectors)
+    assert np.abs(x @ right - left * found.values).max() < 1e-6 and np.abs(left.T @ left - np.eye(5)).max() < 1e-8
+    low = leading.svd(cells(spark, np.outer(np.arange(50.0), np.ones(20))), 3, 16)
+    assert len(low.values) == 1 and low.values[0] == pytest.approx(np.linalg.norm(np.arange(50.0)) * np.sqrt(20))
+
+
+def test_sizes_choose_the_method(spark, monkeypatch):
+    """The functions of small matrices take the distributed way beyond a side."""
+    monkeypatch.setattr(linalg, "SIDE", 20)
+    rng = np.random.default_rng(6)
+    x, b = rng.normal(size=(30, 30)), rng.normal(size=30)
+    a, right = cells(spark, x), Array(spark.createDataFrame(pa.table({"i0": np.arange(30), "v": b})), (30,))
+    np.testing.assert_allclose(linalg.solve(a, right).collect(), np.linalg.solve(x, b), rtol=1e-8)
+    assert linalg.det(a).collect() == pytest.approx(np.linalg.det(x), rel=1e-9)
+    np.testing.assert_allclose(linalg.slogdet(a).collect(), np.linalg.slogdet(x), rtol=1e-9)
+    assert linalg.norm(cells(spark, x + 5), 2).collect() == pytest.approx(np.linalg.norm(x + 5, 2), rel=1e-8)
+    y = rng.normal(size=(40, 3))
+    long = cells(spark, y)
+    np.testing.assert_allclose(linalg.svdvals(long).collect(), np.linalg.svd(y, compute_uv=False), rtol=1e-10)
+    assert linalg.cond(long).collect() == pytest.approx(np.linalg.cond(y)) and linalg.matrix_rank(long).collect() == 3
