@@ -7,10 +7,14 @@ its determinant. Its rows are taken in reverse where pivots shall matter.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..arrays import Array
 from ..operators import blocked, leading, windows
+from ..sources import ranges
+from ..storage import shared_dir
 from .catalog import query, read, rounded
 
 _TILE = 128
@@ -122,3 +126,30 @@ def singular_vector_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leading.svd(_orders(spark, sf_dir), 1, _TILE).left
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i0"))
     return found.df.join(rows, "i0", "left_semi").select("i0", (rounded(F.col("v") * F.col("v"), 7) + 0.0).alias("v"))
+
+
+# array files in byte ranges
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id // 1000 AS part, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(value) AS most FROM events GROUP BY 1")
+def npy_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events' values as one array file, written by many tasks and read in parts of 64 KB."""
+    rows = read(spark, sf_dir, "events")
+    n, path = rows.agg(F.max("event_id")).first()[0] + 1, _file(spark, "events") + ".npy"
+    ranges.save_npy(Array(rows.selectExpr("event_id AS i0", "value AS v"), (n,)), path)
+    back = ranges.load_npy(spark, path, 1 << 16).df
+    return back.groupBy(F.expr("i0 div 1000").alias("part")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("v") * 100).cast("bigint")).alias("cents"), F.max("v").alias("most"))
+
+
+@query("SELECT o_orderkey AS i0, o_custkey AS v FROM orders WHERE o_orderkey >= 100")
+def fromfile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders' customers as raw numbers of four bytes, read from the hundredth on."""
+    rows = read(spark, sf_dir, "orders")
+    n, path = rows.agg(F.max("o_orderkey")).first()[0] + 1, _file(spark, "orders") + ".bin"
+    ranges.tofile(Array(rows.selectExpr("o_orderkey AS i0", "o_custkey AS v"), (n,)), path, "<i4")
+    found = ranges.fromfile(spark, [path], "<i4", offset=400, part=1 << 14)
+    return found.select((F.col("i0") + 100).alias("i0"), "v")

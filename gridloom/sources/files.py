@@ -1,12 +1,11 @@
 """Text and binary sources and sinks for arrays.
 
-The native form is Parquet. ``.npy`` files are read on executors from ``binaryFile``,
-so any store that Spark reads will do.
+The native form is Parquet. Array files are read and written in byte ranges
+(:mod:`ranges`).
 """
 
 from __future__ import annotations
 
-import io
 import math
 import re
 from collections.abc import Sequence
@@ -15,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..arrays import Array, axis_name, unravel
+from ..arrays import Array
+from . import ranges
 
 
 def _lines(spark: SparkSession, path: str, columns: Sequence[str], delimiter: str, comments: str, skip: int, skip_footer: int, max_rows: int | None) -> DataFrame:
@@ -97,57 +97,14 @@ def loadz(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, Arr
     return {n: load(spark, f"{path}/{n}") for n in names}
 
 
-def _header(data: bytes) -> tuple[tuple[int, ...], bool, np.dtype, int]:
-    stream = io.BytesIO(data)
-    version = np.lib.format.read_magic(stream)
-    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-    shape, fortran, dtype = read(stream)
-    return shape, fortran, dtype, stream.tell()
-
-
-def _kind(dtype: np.dtype) -> tuple[str, pa.DataType]:
-    if dtype.kind == "c":
-        return "struct<re:double,im:double>", pa.struct([("re", pa.float64()), ("im", pa.float64())])
-    return {"b": ("boolean", pa.bool_()), "i": ("bigint", pa.int64()), "u": ("bigint", pa.int64()), "f": ("double", pa.float64()), "U": ("string", pa.string())}[dtype.kind]
-
-
-def load_npy(spark: SparkSession, path: str) -> Array:
-    """A ``.npy`` file; the driver sees its header only. Integers, booleans, strings and complex values keep their kind."""
-    files = spark.read.format("binaryFile").load(path)
-    shape, _, dtype, _ = _header(bytes(files.select(F.substring("content", 1, 4096)).first()[0]))
-    kind, arrow = _kind(dtype)
-
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                flat = np.load(io.BytesIO(content), allow_pickle=False).reshape(-1)
-                for k in range(0, len(flat), 65536):
-                    part = flat[k : k + 65536]
-                    values = pa.StructArray.from_arrays([pa.array(part.real.astype(float)), pa.array(part.imag.astype(float))], ["re", "im"]) if part.dtype.kind == "c" else pa.array(part.tolist(), arrow)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part))), values], ["flat", "v"])
-
-    df = files.select("content").mapInArrow(run, f"flat bigint, v {kind}")
-    return Array(df.select(*(c.alias(axis_name(k)) for k, c in enumerate(unravel(F.col("flat"), shape))), "v"), tuple(shape))
-
-
-def save_npy(a: Array, path: str) -> None:
-    """One ``.npy`` file on the driver's side, for arrays that fit one value there."""
-    np.save(path, a.collect())
+load_npy, save_npy, load_npz = ranges.load_npy, ranges.save_npy, ranges.load_npz
 
 
 def save_npz(path: str, **arrays: Array) -> None:
-    """One ``.npz`` file on the driver's side, as :func:`save_npy`."""
+    """One ``.npz`` file on the driver's side, for arrays that fit there; :func:`savez` is the form for others."""
     np.savez(path, **{name: a.collect() for name, a in arrays.items()})
 
 
-def load_npz(spark: SparkSession, path: str) -> dict[str, Array]:
-    """The arrays of a ``.npz`` file on the driver's side (such a file is one zip archive)."""
-    from ..arrays import array
-
-    with np.load(path, allow_pickle=False) as found:
-        return {name: array(spark, found[name]) for name in found.files}
-
-
 def frombuffer(df: DataFrame, name: str, dtype: str = "<f8", count: int = -1, offset: int = 0) -> DataFrame:
     """A binary column as an array column of numbers."""
     kind = "bigint" if np.dtype(dtype).kind in "iu" else "double"
@@ -168,12 +125,14 @@ def fromfile(spark: SparkSession, path: str, dtype: str = "<f8", count: int = -1
         texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"\s+" if not sep.strip() else re.escape(sep.strip()), -1).alias("v"))
         rows = texts.select("path", F.posexplode(F.array_remove(F.transform("v", F.trim), "")).alias("i0", "v"))
         return rows.select("path", "i0", F.col("v").cast("double").alias("v"))
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return frombuffer(files, "content", dtype, count, offset).select("path", F.posexplode("content").alias("i0", "v"))
+    found = spark.read.format("binaryFile").load(path).select("path")  # names alone, the contents are not read
+    return ranges.fromfile(spark, [r["path"] for r in found.collect()], dtype, count, offset)
 
 
 def tofile(a: Array, path: str, sep: str = " ") -> None:
-    """The values in row-major order as text parts that keep the order."""
+    """The values in row-major order as text parts that keep the order; without ``sep``, one file of raw numbers."""
+    if not sep:
+        return ranges.tofile(a, path)
     ordered = a.df.withColumn("__flat", a.flat()).repartitionByRange("__flat").sortWithinPartitions("__flat")
     ordered.select(F.col("v").cast("string").alias("value")).write.text(path)
 
