@@ -15,6 +15,7 @@ from ..arrays import Array
 from ..operators import blocked, leading, windows
 from ..sources import ranges
 from ..storage import shared_dir
+from ..streaming import running
 from .catalog import query, read, rounded
 
 _TILE = 128
@@ -153,3 +154,42 @@ def fromfile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges.tofile(Array(rows.selectExpr("o_orderkey AS i0", "o_custkey AS v"), (n,)), path, "<i4")
     found = ranges.fromfile(spark, [path], "<i4", offset=400, part=1 << 14)
     return found.select((F.col("i0") + 100).alias("i0"), "v")
+
+
+# running reductions
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_RUNNING = """SELECT event_id, CAST(sum(c) OVER w AS BIGINT) AS cents, count(c) OVER w AS n, round(max(v) OVER w, 6) AS most, round(v - lag(v) OVER o, 6) + 0.0 AS step
+FROM (SELECT *, date_trunc('second', ts) AS s, value AS v, CAST(round(value * 100) AS BIGINT) AS c FROM events)
+WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY user_id ORDER BY s, event_id)"""
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    cents = F.round(F.col("cumsum") * 100).cast("bigint").alias("cents")
+    return rows.select("event_id", cents, F.col("count").alias("n"), rounded(F.col("cummax"), 6).alias("most"), (rounded(F.col("diff"), 6) + 0.0).alias("step"))
+
+
+def _seconds(events: DataFrame) -> DataFrame:
+    return events.select("user_id", F.date_trunc("second", "ts").alias("s"), "event_id", "value")
+
+
+@query(_RUNNING)
+def running_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of each user's events so far, as a table."""
+    return _totals(running.running(_seconds(read(spark, sf_dir, "events")), "s", ["user_id"], "value", "event_id"))
+
+
+@query(_RUNNING)
+def running_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of the table's files, by keyed state with timers."""
+    before, out = spark.conf.get(_STORE), _file(spark, "running")
+    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, as the table may be one file
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        totals = running.running(_seconds(events), "s", ["user_id"], "value", "event_id")
+        written = totals.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out)
+        written.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
+    return _totals(spark.read.schema(totals.schema).parquet(out))
