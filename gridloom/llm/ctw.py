@@ -2,8 +2,8 @@
 
 A text is the sequence of its words (lower-cased, split at ASCII white space) and one
 end. A word is coded as its bytes and a closing space, the end as a line feed. The
-context of a byte is the ``DEPTH`` bytes before it, reaching back to the start of its
-word and padded with spaces before that. Each byte is eight binary choices; at every
+context of a byte is the ``DEPTH`` bytes before it in the running text, across words;
+before its beginning stand line feeds. Each byte is eight binary choices; at every
 choice the Krichevsky-Trofimov estimates of all depths from 0 to ``DEPTH`` are mixed
 with the weights of the context tree, so the code is a proper distribution over
 sequences. A context that was never seen adds nothing to the mixture. ``bits_per_byte`` is the
@@ -11,16 +11,17 @@ code length of a text by the bytes so coded.
 
 The tree is fitted on every training text, whatever their number:
 
-1. Texts become blocks: the numbered words of some documents with their counts.
-2. Word counts are summed over blocks; the vocabulary is dealt by range of words.
-3. The vocabulary's grams (context and byte) are summed and dealt by their last two
-   context bytes, so that all deeper nodes of a subtree meet in one task; depths 0
-   and 1, a fixed number of nodes, are joined on the driver.
-4. Gram probabilities go back to the vocabulary and word scores back to the blocks,
-   each by a join that sends a row for every distinct key of a block, not for every
-   occurrence.
+1. Texts become stored blocks: numbered words and the sequence of their numbers.
+2. Word counts are summed over blocks by hash, for the base score.
+3. A block's grams (context and byte) are counted where the block is, and packed by
+   part: their two nearest context bytes. Packed rows are merged by part and lane (a
+   lane is a bounded number of blocks), then by part, so that all deeper nodes of a
+   subtree meet; depths 0 and 1, a fixed number of nodes, are joined on the driver.
+4. The packed grams of each part and lane stream past the part's probabilities and
+   go back to their blocks, where the bytes of each text are summed.
 
-Words are keyed by a 64-bit hash and 15 bits of another when scores go back to blocks.
+What is shuffled are distinct grams of blocks, some bytes for each, not occurrences.
+Words are keyed by a 64-bit hash and 15 bits of another.
 
 Defined cases: null and empty texts are the end alone; a null doc_id counts as the
 empty text when folds are drawn; repeated rows each count; other columns are ignored;
@@ -35,17 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, lowered, shared_dir, stored
+from .common import arrow_schema, lowered, stored
 
-DEPTH, FOLDS, HELD_OUT = 6, 5, 1
-#: Words in a block of documents, and distinct words in a block of the vocabulary.
-BLOCK_WORDS, VOCABULARY_WORDS = 6_000_000, 250_000
-#: Grams of whole subtrees that a task works on at a time.
-SUBTREE_GRAMS = 200_000
+DEPTH, FOLDS, HELD_OUT = 5, 5, 1
+#: Words in a block of documents, and blocks in a lane.
+BLOCK_WORDS, LANE_BLOCKS = 6_000_000, 64
+#: Grams of whole subtrees that a task works on at a time, and of a row of the model.
+SUBTREE_GRAMS, MODEL_GRAMS = 200_000, 8192
+#: Bytes of text that are turned into grams at a time.
+CHUNK = 1 << 20
 END = b"\n"
 
 BLOCKS = "block bigint, doc_ids binary, null_ids binary, held_out binary, doc_words binary, doc_bytes binary, tokens binary, words binary, hashes binary, checks binary, counts binary"
@@ -122,8 +126,7 @@ def _explode(frame: DataFrame, ddl: str, fn) -> DataFrame:
 
 
 def _word_rows(row: dict) -> list:
-    counts = np.frombuffer(row["counts"], np.int64)
-    return [np.frombuffer(row["hashes"], np.int64), row["words"].split(b" "), counts]
+    return [np.frombuffer(row["hashes"], np.int64), np.frombuffer(row["checks"], np.int16), np.frombuffer(row["counts"], np.int64)]
 
 
 def _requests(row: dict) -> list:
@@ -131,18 +134,42 @@ def _requests(row: dict) -> list:
     return [np.full(len(hashes), row["block"]), np.arange(len(hashes), dtype=np.int32), hashes, np.frombuffer(row["checks"], np.int16)]
 
 
-def gram_chunks(words: list[bytes], depth: int, at_once: int = 32768) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(gram, number of its word) of every coded byte, some words at a time.
+def coded_bytes(row: dict, depth: int) -> bytes:
+    """The running text of a block, with ``depth`` line feeds before each text."""
+    coded = [b"\n" * depth if w == END else w + b" " for w in row["words"].split(b" ")]
+    tokens = np.frombuffer(row["tokens"], np.int32)
+    parts = [b"".join(map(coded.__getitem__, tokens[k : k + CHUNK].tolist())) for k in range(0, len(tokens), CHUNK)]
+    return b"".join([b"\n" * depth, *parts])
 
-    A gram holds the context, the nearest byte highest, and the coded byte lowest.
-    """
-    for k in range(0, len(words), at_once):
-        yield _grams(words[k : k + at_once], depth, k)
 
+def gram_chunks(data: bytes, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(gram, number of its text) of every coded byte, ``CHUNK`` bytes at a time.
 
-def grams_of(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All of :func:`gram_chunks`."""
-    parts = list(gram_chunks(words, depth))
+    ``data`` holds texts of so many coded bytes, ``depth`` line feeds before the first,
+    and ``depth`` - 1 more after the end of each. A gram holds the context, the nearest
+    byte highest, and the coded byte lowest.
+    """
+    raw, ends = np.frombuffer(data, np.uint8), np.cumsum(sizes)
+    starts, total = ends - sizes, int(ends[-1])
+    for a in range(0, total, CHUNK):
+        b = min(a + CHUNK, total)
+        first, last = (int(x) for x in np.searchsorted(ends, [a, b - 1], "right"))
+        texts = np.arange(first, last + 1)
+        owner = np.repeat(texts, np.minimum(ends[texts], b) - np.maximum(starts[texts], a))
+        place = np.arange(a, b) + depth + owner * (depth - 1)
+        low = int(place[0])
+        near = raw[low - depth : int(place[-1]) + 1].astype(np.uint64)
+        n = len(near) - depth
+        code = np.zeros(n, np.uint64)
+        for d in range(1, depth + 1):
+            code = code << np.uint64(8) | near[depth - d : depth - d + n]
+        yield (code << np.uint64(8) | near[depth:]).view(np.int64)[place - low], owner
+
+
+def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """All of :func:`gram_chunks`, for texts that are coded already."""
+    data = b"\n" * depth + b"".join(t + b"\n" * (depth - 1) for t in texts)
+    parts = list(gram_chunks(data, np.array([len(t) for t in texts], np.int64), depth))
     return np.concatenate([g for g, _ in parts]), np.concatenate([o for _, o in parts])
 
 
@@ -155,18 +182,35 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return grams[starts], np.add.reduceat(weights, starts)
 
 
-def _grams(words: list[bytes], depth: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    pad = b" " * depth
-    coded = [pad + w if w == END else pad + w + b" " for w in words]
-    sizes = np.array([len(c) for c in coded], np.int64)
-    raw = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(first, first + len(words), dtype=np.int32), sizes)
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.flatnonzero(place >= depth)
-    code = np.zeros(len(at), np.uint64)
-    for d in range(1, depth + 1):
-        code = code << np.uint64(8) | raw[at - d]
-    return (code << np.uint64(8) | raw[at]).view(np.int64), owner[at]
+def training_grams(row: dict, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a block and how often training texts have them: never, for some."""
+    held, sizes = np.frombuffer(row["held_out"], bool), np.frombuffer(row["doc_bytes"], np.int64)
+    parts, waiting, floor = [], 0, 0
+    for grams, owner in gram_chunks(coded_bytes(row, depth), sizes, depth):
+        keys = grams << 1 | held[owner]
+        keys.sort()
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] >> 1 != keys[:-1] >> 1]))
+        parts.append((keys[starts] >> 1, np.add.reduceat(1 - (keys & 1), starts)))
+        waiting += len(starts)
+        if waiting > CHUNK + 2 * floor:
+            parts = [summed(parts)]
+            waiting = floor = len(parts[0][0])
+    return summed(parts)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers by their differences, compressed."""
+    return pa.compress(np.diff(numbers, prepend=0).tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.int64))
+
+
+def _part_cuts(grams: np.ndarray, depth: int) -> list[int]:
+    """Where each part of sorted grams begins, and the end."""
+    part = grams >> (8 * (depth - 1))
+    return [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
 
 
 def _ln_gamma(x: np.ndarray) -> np.ndarray:
@@ -227,47 +271,92 @@ def subtree(grams: np.ndarray, weights: np.ndarray, depth: int, least: int) -> t
     return mixed, tops
 
 
-MODEL = "kind int, gram bigint, weight double, node bigint, value double, bits binary"
+PACKED = "part int, lane int, n int, grams binary, weights binary"
+MODEL = "kind int, part int, n int, grams binary, bits binary, node bigint, value double"
+PRICED = "block bigint, part int, n int, grams binary, logp binary"
 
 
-def _trees(grams: DataFrame, depth: int) -> DataFrame:
-    """For each gram its bits mixed down to depth 2, and sums for the nodes at depths 0 and 1."""
-    schema, most = arrow_schema(MODEL), SUBTREE_GRAMS
-    key = F.shiftrightunsigned(F.col("gram"), 8 * (depth - 1))
-    dealt = grams.repartition(key.alias("part")).sortWithinPartitions("gram")
+def _rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 64) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, at_once):
+            yield from zip(*(c.to_pylist() for c in batch.slice(k, at_once).columns))
 
-    def one(code: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _map_packed(frame: DataFrame, fn, ddl: str, size: int = 2_000_000) -> DataFrame:
+    """The rows that ``fn`` makes of a task's batches, in batches of about so many bytes of binary columns."""
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_bytes = [], 0
+        for row in fn(batches):
+            held.append(row)
+            held_bytes += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+            if held_bytes > size:
+                yield _batch(held, schema)
+                held, held_bytes = [], 0
+        if held:
+            yield _batch(held, schema)
+
+    return frame.mapInArrow(run, ddl)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The summed grams of each (part, lane), of packed rows that come in this order."""
+    key, held, size, floor = None, [], 0, 0
+    for part, lane, n, grams, weights in _rows_of(batches):
+        if key != (part, lane):
+            if held:
+                yield *key, *summed(held)
+            key, held, size, floor = (part, lane), [], 0, 0
+        held.append((unpack(grams, n), unpack(weights, n)))
+        size += n
+        if size > SUBTREE_GRAMS + 2 * floor:
+            held = [summed(held)]
+            size = floor = len(held[0][0])
+    if held:
+        yield *key, *summed(held)
+
+
+def _trees(packed: DataFrame, depth: int) -> DataFrame:
+    """For each part its grams with bits mixed down to depth 2, and sums for the nodes at depths 0 and 1."""
+    most, least = SUBTREE_GRAMS, MODEL_GRAMS
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for part, _, grams, weights in _merged(batches):
+            yield part, 0, len(grams), pack(grams), pack(weights)
+
+    def one(code: np.ndarray, weight: np.ndarray) -> Iterator[tuple]:
         mixed, tops = subtree(code, weight, depth, 2)
-        packed = mixed.astype(np.float32)
-        for k in range(0, len(code), 65536):
-            n = len(code[k : k + 65536])
-            bits = pa.array([r.tobytes() for r in packed[k : k + n]], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(code[k : k + n]), pa.array(weight[k : k + n]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), bits], schema=schema)
+        bits, cuts = mixed.astype(np.float32), _part_cuts(code, depth)
+        for a, b in zip(cuts, cuts[1:]):
+            for k in range(a, b, least):
+                e = min(k + least, b)
+                yield 0, int(code[k] >> (8 * (depth - 1))), e - k, pack(code[k:e]), bits[k:e].tobytes(), None, None
         sums: dict[int, float] = {}
         for last, node, value in tops:
             sums[last << 8 | node] = sums.get(last << 8 | node, 0.0) + value
         # counts of (nearest byte, byte): what the two upper depths need besides those sums
         near = (code >> (8 * depth)) << 8 | code & 255
         pairs, at = np.unique(near, return_inverse=True)
-        counts = np.bincount(at, weight)
-        rows = [(1, None, None, n, v, None) for n, v in sums.items()] + [(2, None, None, n, v, None) for n, v in zip(pairs.tolist(), counts.tolist())]
-        yield _batch(rows, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Subtrees come one after another; some whole ones, ``SUBTREE_GRAMS`` of grams or the one that is larger, are held at a time."""
-        code, weight = np.zeros(0, np.int64), np.zeros(0)
-        for batch in batches:
-            code = np.concatenate([code, batch.column(0).to_numpy()])
-            weight = np.concatenate([weight, batch.column(1).to_numpy().astype(np.float64)])
-            if len(code) >= most:
-                done = int(np.searchsorted(code, code[-1] >> (8 * (depth - 1)) << (8 * (depth - 1))))  # where the last subtree begins
-                if done:
-                    yield from one(code[:done], weight[:done])
-                    code, weight = code[done:], weight[done:]
-        if len(code):
-            yield from one(code, weight)
+        for kind, found in ((1, sums.items()), (2, zip(pairs.tolist(), np.bincount(at, weight).tolist()))):
+            for node, value in found:
+                yield kind, None, None, None, None, node, value
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Some whole subtrees, ``SUBTREE_GRAMS`` of grams or the one that is larger, are held at a time."""
+        held, size = [], 0
+        for _, _, grams, weights in _merged(batches):
+            if held and size + len(grams) > most:
+                yield from one(np.concatenate([g for g, _ in held]), np.concatenate([w for _, w in held]).astype(np.float64))
+                held, size = [], 0
+            held.append((grams, weights))
+            size += len(grams)
+        if held:
+            yield from one(np.concatenate([g for g, _ in held]), np.concatenate([w for _, w in held]).astype(np.float64))
 
-    return dealt.select("gram", "weight").mapInArrow(run, MODEL)
+    rows = packed.select("part", "lane", "n", "grams", "weights").repartition("part", "lane").sortWithinPartitions("part", "lane")
+    lanes = _map_packed(rows, merge, PACKED)
+    return _map_packed(lanes.repartition("part").sortWithinPartitions("part"), grow, MODEL)
 
 
 class Top:
@@ -305,100 +394,92 @@ def gram_log10(top: tuple[np.ndarray, ...], grams: np.ndarray, bits: np.ndarray,
     return np.log10(np.where(bits < 0, alone[at], base[at] + keep[at] * bits)).sum(axis=1)
 
 
-def word_scores(vocabulary: DataFrame, depth: int = DEPTH, vocabulary_words: int = VOCABULARY_WORDS) -> DataFrame:
-    """h, g (its check), c and log10 probability of each word; the vocabulary has h, word and c."""
+def gram_scores(blocks: DataFrame, depth: int = DEPTH, lane_blocks: int = LANE_BLOCKS) -> DataFrame:
+    """The grams of each block by part, with the log10 probability of each."""
     if not 2 <= depth <= 6:
         raise ValueError("the depth is from 2 to 6")
-    n = vocabulary.count()
-    ranged = vocabulary.repartitionByRange(1 + n // vocabulary_words, "word")
-    ddl = "block bigint, words binary, hashes binary, counts binary"
-    schema = arrow_schema(ddl)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
-
-        def row() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            words = b" ".join(table.column("word").to_pylist())
-            return _batch([(base + k, words, table.column("h").to_numpy().tobytes(), table.column("c").to_numpy().tobytes())], schema)
+    lanes = 1 + blocks.count() // lane_blocks
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size >= 2 * vocabulary_words:
-                yield row()
-                k, held, size = k + 1, [], 0
-        if held:
-            yield row()
-
-    blocks = stored(ranged.select("word", "h", "c").mapInArrow(gather, ddl), "vocabulary-blocks")
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                grams, weights = training_grams(row, depth)
+                cuts = _part_cuts(grams, depth)
+                for a, b in zip(cuts, cuts[1:]):
+                    yield row["block"], int(grams[a] >> (8 * (depth - 1))), b - a, pack(grams[a:b]), pack(weights[a:b])
 
-    def gram_rows(row: dict) -> list:
-        counts = np.frombuffer(row["counts"], np.int64)
-        parts = []
-        for grams, owner in gram_chunks(row["words"].split(b" "), depth):
-            found, at = np.unique(grams, return_inverse=True)
-            parts.append((found, np.bincount(at, counts[owner], len(found))))
-        found, weights = summed(parts)
-        return [np.full(len(found), row["block"]), found, weights]
-
-    rows = _explode(blocks, "block bigint, gram bigint, weight double", gram_rows)
-    model = _trees(rows.groupBy("gram").agg(F.sum("weight").alias("weight")), depth)
-    spark = vocabulary.sparkSession
-    path = f"{shared_dir(spark)}/model-{np.random.SeedSequence().entropy:x}"
-    model.write.option("compression", "zstd").parquet(path)
-    model = spark.read.schema(model.schema).parquet(path)
+    counted_ddl = "block bigint, part int, n int, grams binary, weights binary"
+    counted = _map_packed(blocks.select("block", "words", "tokens", "held_out", "doc_bytes"), count, counted_ddl)
+    packed = stored(counted.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")), "grams")
+    model = stored(_trees(packed, depth), "model")
 
     upper = model.filter("kind > 0").groupBy("kind", "node").agg(F.sum("value").alias("value"))
     found: dict[int, dict[int, float]] = {1: {}, 2: {}}
     for kind, node, value in upper.toLocalIterator():  # at most 2 * 65 536 rows, whatever the corpus
         found[kind][node] = value
     joined = Top(found[1], found[2])
-    top = spark.sparkContext.broadcast((joined.keys, joined.keep, joined.base, joined.alone))
-
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column(0).to_numpy()
-            bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gram_log10(top.value, grams, bits.astype(np.float64), depth))], ["gram", "logp"])
-
-    priced = model.filter("kind = 0").select("gram", "bits").mapInArrow(price, "gram bigint, logp double")
-    back = rows.select("block", "gram").join(priced, "gram").select("block", "gram", "logp")
-    out = arrow_schema("h bigint, g smallint, c bigint, logp double")
-
-    def total(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("gram").to_numpy())
-        known, logp = right.column("gram").to_numpy()[order], right.column("logp").to_numpy()[order]
-        parts = []
-        for row in left.to_pylist():
-            words = row["words"].split(b" ")
-            hashes, sums = np.frombuffer(row["hashes"], np.int64), np.zeros(len(words))
-            for grams, owner in gram_chunks(words, depth):
-                first = int(owner[0])
-                part = np.bincount(owner - first, logp[np.searchsorted(known, grams)])
-                sums[first : first + len(part)] = part
-            checks = np.array([zlib.crc32(w) & 0x7FFF for w in words], np.int16)
-            parts.append(pa.Table.from_arrays([pa.array(hashes), pa.array(checks), pa.array(np.frombuffer(row["counts"], np.int64)), pa.array(sums)], schema=out))
-        return pa.concat_tables(parts) if parts else out.empty_table()
-
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(total, "h bigint, g smallint, c bigint, logp double")
-
-
-def score_documents(docs: DataFrame, depth: int = DEPTH, block_words: int = BLOCK_WORDS, vocabulary_words: int = VOCABULARY_WORDS) -> DataFrame:
+    top = blocks.sparkSession.sparkContext.broadcast((joined.keys, joined.keep, joined.base, joined.alone))
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for part, n, grams, bits in _rows_of(batches):
+            logp = gram_log10(top.value, unpack(grams, n), np.frombuffer(bits, np.float32).reshape(-1, 8).astype(np.float64), depth)
+            yield -1, part, n, grams, logp.astype(np.float32).tobytes()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """The rows of a part's model (block -1) come first, then its blocks."""
+        key, known, logp, whole = None, [], [], False
+        for block, part, n, grams, values, lane in _rows_of(batches):
+            if key != (part, lane):
+                key, known, logp, whole = (part, lane), [], [], False
+            if block < 0:
+                known.append(unpack(grams, n))
+                logp.append(np.frombuffer(values, np.float32))
+                continue
+            if not whole:
+                known, logp, whole = np.concatenate(known), np.concatenate(logp), True
+                order = np.argsort(known)
+                known, logp = known[order], logp[order]
+            yield block, part, n, grams, logp[np.searchsorted(known, unpack(grams, n))].tobytes()
+
+    priced = _map_packed(model.filter("kind = 0").select("part", "n", "grams", "bits"), price, PRICED)
+    every = priced.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    asked = packed.select("block", "part", "n", "grams", F.lit(None).cast("binary").alias("logp"), "lane")
+    return _map_packed(every.unionByName(asked).repartition("part", "lane").sortWithinPartitions("part", "lane", "block"), look_up, PRICED)
+
+
+def text_log10(row: dict, grams: np.ndarray, logp: np.ndarray, depth: int) -> np.ndarray:
+    """log10 probability of each text of a block, from those of its distinct grams in order."""
+    sizes = np.frombuffer(row["doc_bytes"], np.int64)
+    total = np.zeros(len(sizes))
+    for found, owner in gram_chunks(coded_bytes(row, depth), sizes, depth):
+        first = int(owner[0])
+        part = np.bincount(owner - first, logp[np.searchsorted(grams, found)])
+        total[first : first + len(part)] += part
+    return total
+
+
+def score_documents(docs: DataFrame, depth: int = DEPTH, block_words: int = BLOCK_WORDS, lane_blocks: int = LANE_BLOCKS) -> DataFrame:
     """Base score and model score (log10) of every document."""
     blocks = blocks_of(docs, block_words)
-    words = _explode(blocks.select("words", "hashes", "counts"), "h bigint, word binary, c bigint", _word_rows)
-    vocabulary = stored(words.groupBy("h", "word").agg(F.sum("c").alias("c")), "vocabulary")
+    words = _explode(blocks.select("hashes", "checks", "counts"), "h bigint, g smallint, c bigint", _word_rows)
+    vocabulary = stored(words.groupBy("h", "g").agg(F.sum("c").alias("c")), "vocabulary")
     train, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    scored = stored(word_scores(vocabulary, depth, vocabulary_words), "word-scores")
     asked = _explode(blocks.select("block", "hashes", "checks"), "block bigint, number int, h bigint, g smallint", _requests)
-    answers = asked.join(scored, ["h", "g"]).select("block", "number", "c", "logp")
+    counted = asked.join(vocabulary, ["h", "g"]).selectExpr("block", "number", "c", "cast(null as binary) grams", "cast(null as binary) logp")
+    priced = gram_scores(blocks, depth, lane_blocks).selectExpr("block", "part as number", "cast(n as bigint) as c", "grams", "logp")
     schema = arrow_schema(SCORES)
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("number").to_numpy())
-        counts, logp = right.column("c").to_numpy()[order], right.column("logp").to_numpy()[order]
+        is_word = right.column("grams").is_null()
+        rows = right.filter(is_word)
+        counts = rows.column("c").to_numpy()[np.argsort(rows.column("number").to_numpy())]
+        rows = right.filter(pc.invert(is_word))
+        # parts are ranges of grams, so their order is that of the grams
+        order = np.argsort(rows.column("number").to_numpy()).tolist()
+        sizes, packed, values = (rows.column(c).to_pylist() for c in ("c", "grams", "logp"))
+        grams = np.concatenate([unpack(packed[k], sizes[k]) for k in order])
+        logp = np.concatenate([np.frombuffer(values[k], np.float32) for k in order]).astype(np.float64)
         base = np.log10((counts + 0.5) / (train + 0.5 * (distinct + 1)))
         parts = []
         for row in left.to_pylist():
@@ -406,10 +487,11 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_words: int = BLOC
             starts = np.cumsum(sizes) - sizes
             add = lambda values: np.add.reduceat(values[tokens], starts)
             ids, nulls = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["null_ids"], bool)
-            total, coded = add(logp), np.frombuffer(row["doc_bytes"], np.int64)
+            total, coded = text_log10(row, grams, logp, depth), np.frombuffer(row["doc_bytes"], np.int64)
             held = np.frombuffer(row["held_out"], bool)
             columns = [pa.array(ids, mask=nulls), pa.array(held), pa.array(sizes), pa.array(add((counts > 0).astype(np.int64))), pa.array(np.full(len(ids), train, np.int64)), pa.array(add(base)), pa.array(total), pa.array(-total / math.log10(2) / coded)]
             parts.append(pa.Table.from_arrays(columns, schema=schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
-    return blocks.drop("words", "hashes", "checks", "counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
+    answers = counted.unionByName(priced)
+    return blocks.drop("hashes", "checks", "counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)

@@ -449,25 +449,25 @@ def test_context_tree(spark, monkeypatch):
     texts = [*TEXTS, *(prose(rng, rng.randint(1, 80)) for _ in range(40))]
     docs = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in enumerate(texts)}
     depth = 4
-    got = {r.doc_id: r for r in ctw.score_documents(documents(spark, texts), depth, block_words=500, vocabulary_words=30).collect()}
+    got = {r.doc_id: r for r in ctw.score_documents(documents(spark, texts), depth, block_words=500, lane_blocks=2).collect()}
     train = Counter(w for k, ws in docs.items() if zlib.crc32(str(k).encode()) % 5 != 1 for w in ws)
     total, distinct = sum(train.values()), len(train)
     nodes, children = {}, {}
 
-    def grams(word):
-        s = b" " * depth + (word if word == b"\n" else word + b" ")
+    def grams(ws):
+        s = b"\n" * depth + b" ".join(ws)
         return [s[i - depth : i + 1] for i in range(depth, len(s))]
 
     def path(g):
         for j in range(8):
             yield (1 << j) | (g[-1] >> (8 - j)), (g[-1] >> (7 - j)) & 1
 
-    for w in {w for ws in docs.values() for w in ws}:
-        for g in grams(w):
+    for k, ws in docs.items():
+        for g in grams(ws):
             for prefix, bit in path(g):
                 for d in range(depth + 1):
                     key = (g[depth - d : depth], prefix)
-                    nodes.setdefault(key, [0, 0])[bit] += train.get(w, 0)
+                    nodes.setdefault(key, [0, 0])[bit] += zlib.crc32(str(k).encode()) % 5 != 1
                     if d < depth:
                         children.setdefault(key, set()).add(g[depth - d - 1 : depth])
 
@@ -482,9 +482,9 @@ def test_context_tree(spark, monkeypatch):
             weights[key] = own if len(key[0]) == depth else np.logaddexp(own, sum(weighted((c, key[1])) for c in children[key])) - math.log(2)
         return weights[key]
 
-    def log10(word):
+    def log10(ws):
         out = 0.0
-        for g in grams(word):
+        for g in grams(ws):
             for prefix, bit in path(g):
                 p = None
                 for d in range(depth, -1, -1):
@@ -505,10 +505,35 @@ def test_context_tree(spark, monkeypatch):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in train for w in ws), total)
         assert r.held_out == (zlib.crc32(str(k).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(sum(math.log10((train.get(w, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws), rel=1e-9)
-        assert r.score == pytest.approx(sum(map(log10, ws)), rel=1e-5)
+        assert r.score == pytest.approx(log10(ws), rel=1e-5)
         assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / len(b" ".join(ws)), rel=1e-9)
 
 
+def test_context_tree_reads_across_words(spark):
+    """Held-out prose in a fixed order of words costs less than the same words shuffled."""
+    rng = random.Random(5)
+    sentence = "the old ferry leaves the harbour every morning before six and comes back late at night".split()
+    texts = [" ".join(sentence[rng.randrange(4) :]) for _ in range(400)]
+    held = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 5 == 1][:2]
+    shuffled = sentence[:]
+    rng.shuffle(shuffled)
+    rows = [*enumerate(texts), (held[0], " ".join(sentence)), (held[1], " ".join(shuffled))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in ctw.score_documents(docs).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 5
+
+
+def test_context_tree_chunks(monkeypatch):
+    """Long texts are cut into chunks; the grams are those of the whole."""
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(b"ab ", k=n)) + b"\n" for n in (0, 1, 300, 0, 7, 90)]
+    whole = ctw.grams_of(texts, 4)
+    monkeypatch.setattr(ctw, "CHUNK", 13)
+    assert all((a == b).all() for a, b in zip(ctw.grams_of(texts, 4), whole))
+    assert len(whole[0]) == sum(map(len, texts))
+
+
 def test_context_tree_is_a_distribution():
     """The probabilities of all bytes after a context add up to 1."""
     words = [b"abab", b"abc", b"b"]
