@@ -39,7 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow_schema, lowered, release_memory, stored
 
@@ -64,6 +64,17 @@ def fold(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
+def packed_tokens(tokens: np.ndarray) -> bytes:
+    """Word numbers byte plane by byte plane, compressed."""
+    return pa.compress(tokens.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def tokens_of(row: dict) -> np.ndarray:
+    n = int(np.frombuffer(row["doc_words"], np.int64).sum())
+    planes = np.frombuffer(pa.decompress(row["tokens"], 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
 class _Block:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -86,7 +97,7 @@ class _Block:
         checks = np.fromiter((zlib.crc32(w) & 0x7FFF for w in self.known), np.int16, len(self.known))
         docs = np.array([0 if d is None else d for d in self.docs], np.int64)
         nulls = np.array([d is None for d in self.docs], bool)
-        return (block, docs.tobytes(), nulls.tobytes(), held.tobytes(), sizes.tobytes(), np.array(self.bytes, np.int64).tobytes(), tokens.tobytes(), b" ".join(self.known), hashes.tobytes(), checks.tobytes(), counts.tobytes())
+        return (block, docs.tobytes(), nulls.tobytes(), held.tobytes(), sizes.tobytes(), np.array(self.bytes, np.int64).tobytes(), packed_tokens(tokens), b" ".join(self.known), hashes.tobytes(), checks.tobytes(), counts.tobytes())
 
 
 def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -129,18 +140,14 @@ def _explode(frame: DataFrame, ddl: str, fn) -> DataFrame:
 
 
 def _word_rows(row: dict) -> list:
-    return [np.frombuffer(row["hashes"], np.int64), np.frombuffer(row["checks"], np.int16), np.frombuffer(row["counts"], np.int64)]
-
-
-def _requests(row: dict) -> list:
     hashes = np.frombuffer(row["hashes"], np.int64)
-    return [np.full(len(hashes), row["block"]), np.arange(len(hashes), dtype=np.int32), hashes, np.frombuffer(row["checks"], np.int16)]
+    return [np.full(len(hashes), row["block"]), np.arange(len(hashes), dtype=np.int32), hashes, np.frombuffer(row["checks"], np.int16), np.frombuffer(row["counts"], np.int64)]
 
 
 def coded_bytes(row: dict, depth: int) -> bytes:
     """The running text of a block, with ``depth`` line feeds before each text."""
     coded = [b"\n" * depth if w == END else w + b" " for w in row["words"].split(b" ")]
-    tokens = np.frombuffer(row["tokens"], np.int32)
+    tokens = tokens_of(row)
     parts = [b"".join(map(coded.__getitem__, tokens[k : k + CHUNK].tolist())) for k in range(0, len(tokens), CHUNK)]
     return b"".join([b"\n" * depth, *parts])
 
@@ -414,7 +421,7 @@ def gram_scores(blocks: DataFrame, depth: int = DEPTH, lane_blocks: int = LANE_B
                     yield row["block"], int(grams[a] >> (8 * (depth - 1))), b - a, pack(grams[a:b]), pack(weights[a:b])
 
     counted_ddl = "block bigint, part int, n int, grams binary, weights binary"
-    counted = _map_packed(blocks.select("block", "words", "tokens", "held_out", "doc_bytes"), count, counted_ddl)
+    counted = _map_packed(blocks.select("block", "words", "tokens", "held_out", "doc_words", "doc_bytes"), count, counted_ddl)
     packed = stored(counted.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")), "grams")
     model = stored(_trees(packed, depth), "model")
 
@@ -466,11 +473,11 @@ def text_log10(row: dict, grams: np.ndarray, logp: np.ndarray, depth: int) -> np
 def score_documents(docs: DataFrame, depth: int = DEPTH, block_words: int = BLOCK_WORDS, lane_blocks: int = LANE_BLOCKS) -> DataFrame:
     """Base score and model score (log10) of every document."""
     blocks = blocks_of(docs, block_words)
-    words = _explode(blocks.select("hashes", "checks", "counts"), "h bigint, g smallint, c bigint", _word_rows)
-    vocabulary = stored(words.groupBy("h", "g").agg(F.sum("c").alias("c")), "vocabulary")
-    train, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    asked = _explode(blocks.select("block", "hashes", "checks"), "block bigint, number int, h bigint, g smallint", _requests)
-    counted = asked.join(vocabulary, ["h", "g"]).selectExpr("block", "number", "c", "cast(null as binary) grams", "cast(null as binary) logp")
+    words = _explode(blocks.select("block", "hashes", "checks", "counts"), "block bigint, number int, h bigint, g smallint, c bigint", _word_rows)
+    same = Window.partitionBy("h", "g")  # a row for each block that has the word: counts come back in one shuffle
+    totals = stored(words.select("block", "number", F.sum("c").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")), "word-counts")
+    train, distinct = totals.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    counted = totals.selectExpr("block", "number", "c", "cast(null as binary) grams", "cast(null as binary) logp")
     priced = gram_scores(blocks, depth, lane_blocks).selectExpr("block", "part as number", "cast(n as bigint) as c", "grams", "logp")
     schema = arrow_schema(SCORES)
 
@@ -487,7 +494,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, block_words: int = BLOC
         base = np.log10((counts + 0.5) / (train + 0.5 * (distinct + 1)))
         parts = []
         for row in left.to_pylist():
-            tokens, sizes = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["doc_words"], np.int64)
+            tokens, sizes = tokens_of(row), np.frombuffer(row["doc_words"], np.int64)
             starts = np.cumsum(sizes) - sizes
             add = lambda values: np.add.reduceat(values[tokens], starts)
             ids, nulls = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["null_ids"], bool)
