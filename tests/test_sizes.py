@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.arrays import Array, grid
-from gridloom.operators import blocked, tiles
+from gridloom.operators import blocked, numeric, tiles
+from gridloom.operators.random import Generator
 from gridloom.plans import factors
 
 
@@ -19,3 +20,14 @@ def test_tiles_are_not_broadcast(spark):
     assert "Broadcast" not in plan(blocked._complete(found, 5, 5, 64))
     pairs = plan(factors.minima(spark, "/root/testdata/sf0.001").df)
     assert "BuildRight" in pairs and "BuildLeft" not in pairs  # the totals are sent, not the pairs
+
+
+def test_draws_are_not_broadcast(spark):
+    drawn = Generator(spark, 1).normal(0.0, 1.0, size=(1000,)).map(lambda v: v + 1).df
+    assert "Broadcast" not in plan(drawn.join(spark.range(1000).withColumnRenamed("id", "i0"), "i0"))
+
+
+def test_transforms_are_not_broadcast(spark):
+    """The product of two transforms, one of them of a short array."""
+    a, b = (grid(spark, (n,)).map(lambda v: v.cast("double")) for n in (5000, 300))
+    assert "Broadcast" not in plan(numeric.convolve(a, b, max_kernel=0).df)
