@@ -152,12 +152,14 @@ def size_and_ndim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.df.agg(F.count("*").alias("n")).filter(F.col("n") == dtypes.size(a)).withColumn("dims", F.lit(dtypes.ndim(a)))
 
 
-@query("SELECT 'float64' AS promoted, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL")
+@query("SELECT 'float64' AS promoted, 'int64' AS wide, true AS safe, false AS narrow, true AS kind, 9223372036854775807 AS most, 2.220446049250313e-16::DOUBLE AS eps, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL")
 def type_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The common type of two columns of a table, and how many values have it."""
+    """Types of a table's columns: the common ones, casts, kinds and limits, and how many values have them."""
     kinds = {"bigint": "int64", "double": "float64", "int": "int32"}
     rows = read(spark, sf_dir, "orders")
     key, price = (kinds[dict(rows.dtypes)[c]] for c in ("o_orderkey", "o_totalprice"))
-    if not dtypes.can_cast(key, key) or not dtypes.issubdtype(key, "integer"):
-        raise TypeError(key)
-    return rows.filter("o_totalprice is not null").agg(F.lit(dtypes.promote_types(key, price)).alias("promoted"), F.count("*").alias("n")).select("promoted", "n")
+    found = {
+        "promoted": dtypes.promote_types(key, price), "wide": dtypes.result_type("int8", key), "safe": dtypes.can_cast("int32", key), "narrow": dtypes.can_cast(price, "int32"),
+        "kind": dtypes.issubdtype(key, "integer"), "most": dtypes.iinfo(key).max, "eps": dtypes.finfo(price).eps,
+    }
+    return rows.filter("o_totalprice is not null").agg(F.count("*").alias("n")).select(*(F.lit(v).alias(k) for k, v in found.items()), "n")

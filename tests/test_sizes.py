@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.arrays import Array, grid
 from gridloom.operators import blocked, numeric, tiles
 from gridloom.operators.random import Generator
-from gridloom.plans import factors
+from gridloom.plans import catalog, factors
 
 
 def plan(df):
@@ -31,3 +31,9 @@ def test_transforms_are_not_broadcast(spark):
     """The product of two transforms, one of them of a short array."""
     a, b = (grid(spark, (n,)).map(lambda v: v.cast("double")) for n in (5000, 300))
     assert "Broadcast" not in plan(numeric.convolve(a, b, max_kernel=0).df)
+
+
+def test_type_functions_are_all_called(spark):
+    """The query has each function of types, not two of them."""
+    row = catalog.QUERIES["type_functions"](spark, "/root/testdata/sf0.001").first().asDict()
+    assert row == {"promoted": "float64", "wide": "int64", "safe": True, "narrow": False, "kind": True, "most": 2**63 - 1, "eps": 2.0**-52, "n": 1500}
