@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.arrays import Array, grid
-from gridloom.operators import blocked, numeric, tiles
+from gridloom.operators import blocked, leading, numeric, tiles
 from gridloom.operators.random import Generator
 from gridloom.plans import catalog, factors
+from gridloom.storage import stored
 
 
 def plan(df):
@@ -37,3 +38,41 @@ def test_type_functions_are_all_called(spark):
     """The query has each function of types, not two of them."""
     row = catalog.QUERIES["type_functions"](spark, "/root/testdata/sf0.001").first().asDict()
     assert row == {"promoted": "float64", "wide": "int64", "safe": True, "narrow": False, "kind": True, "most": 2**63 - 1, "eps": 2.0**-52, "n": 1500}
+
+
+def test_outer_tiles_and_their_pairs(spark, monkeypatch):
+    """Tiles of x y' are made where they are used: the matrix is never written."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 2))
+    cells = lambda m: Array(spark.createDataFrame([(i, j, float(m[i, j])) for i in range(50) for j in range(2)], "i0 bigint, i1 bigint, v double"), m.shape)
+    made = tiles.outer(cells(x), cells(x[:, ::-1]), 16)
+    want = x @ x[:, ::-1].T
+    got = np.zeros((64, 64))
+    for r in made.collect():
+        got[r["ti"] * 16 :, r["tj"] * 16 :][:16, :16] = np.frombuffer(r["data"]).reshape(16, 16)
+    np.testing.assert_allclose(got[:50, :50], want, atol=1e-12)
+    names = []
+    monkeypatch.setattr(leading, "stored", lambda df, name: names.append(name) or stored(df, name))
+    values = leading.eigh_tiles(made, 50, 2, 16).values
+    every = np.linalg.eigvalsh(want)
+    np.testing.assert_allclose(values, every[np.argsort(-np.abs(every))][:2], atol=1e-9)
+    assert "tiles" not in names
+
+
+def test_tiles_of_a_narrow_matrix_are_narrow(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(leading, "stored", lambda df, name: sizes.append(df.selectExpr("sum(length(data))").first()[0]) or stored(df, name) if name == "tiles" else stored(df, name))
+    a = grid(spark, (600, 2)).map(lambda v: F.sqrt(v))
+    found = leading.svd(a, 1, 128)
+    np.testing.assert_allclose(found.values, np.linalg.svd(np.sqrt(np.arange(1200.0)).reshape(600, 2), compute_uv=False)[:1])
+    assert sizes == [640 * 2 * 8]
+
+
+@pytest.mark.parametrize("m", [10, 90])
+def test_products_by_blocks(spark, monkeypatch, m):
+    """Several blocks with several tiles each, with one stretch and with more."""
+    monkeypatch.setattr(tiles, "HELD", 8 * 8 * 8 * 8 * 2)
+    rng = np.random.default_rng(m)
+    a, b = rng.normal(size=(40, m)), rng.normal(size=(m, 50))
+    cells = lambda x: Array(spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(x)], "i0 bigint, i1 bigint, v double"), x.shape)
+    np.testing.assert_allclose(tiles.matmul(cells(a), cells(b), 8).collect(), a @ b, atol=1e-12)
