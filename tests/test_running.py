@@ -1,10 +1,12 @@
 """Running reductions on a stream with rows out of order, late rows, ties and nulls."""
 
 import datetime as dt
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from gridloom.streaming.running import running
+from gridloom.streaming.running import _added, running
 
 DDL = "k string, t timestamp, id bigint, v double"
 
@@ -59,3 +61,60 @@ def test_many_rows(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert len(got) == 4000 and got == plain(running(base, "t", ["k"], "v", "id"))
+
+
+def test_many_keys(spark, tmp_path):
+    """State is called for buckets, not for keys: timers stay within 256 for 3000 keys; totals go on over batches."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    base = spark.range(9000).selectExpr("IF(id % 3000 = 7, NULL, CAST(id % 3000 AS STRING)) AS k", "CAST(1700000000 + id DIV 3000 * 100 - id % 5 AS TIMESTAMP) AS t", "id", "IF(id % 4 = 0, NULL, id * 37 % 1001 / 7) AS v")
+    end = spark.createDataFrame([("end", dt.datetime(2030, 1, 1), 9999, 0.0)], DDL)
+    source, timers = str(tmp_path / "in"), []
+    for part in (base.filter("id < 3000"), base.filter("id >= 3000"), end):
+        part.coalesce(1).write.mode("append").parquet(source)
+        query = (
+            running(spark.readStream.schema(DDL).parquet(source), "t", ["k"], "v", "id", "10 seconds")
+            .writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(120)
+        assert query.exception() is None
+        timers += [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress if p["stateOperators"]]
+    got = plain(spark.read.parquet(str(tmp_path / "out")))
+    assert len(got) == 9000 and got == plain(running(base, "t", ["k"], "v", "id"))
+    assert 0 < max(timers) <= 256
+
+
+def test_kinds_of_keys(spark, tmp_path):
+    """Keys come back as they were: whole numbers beyond doubles beside nulls, times, bytes, nulls of each kind."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ddl, keys = "a bigint, b timestamp, c binary, d double, e date, f boolean, g decimal(20,3), h struct<x: timestamp, y: array<string>>, t timestamp, id bigint, v double", list("abcdefgh")
+    one = (2**53 + 1, dt.datetime(2024, 11, 3, 5, 30, 0, 123457), b"\xff\x00", -0.0, dt.date(1, 1, 1), True, Decimal("12345678901234567.125"), (dt.datetime(1850, 1, 1, 0, 0, 0, 7), ["", None, "ü\n"]))
+    rows = [(*one, at(1), 1, 1.0), (*one[:3], 0.0, *one[4:], at(2), 2, 2.0), (2**53, *one[1:], at(2), 3, 4.0), (*[None] * 8, at(2), 4, 8.0), (*[None] * 8, at(1), 5, 16.0)]
+    rows += [(*(None if x == k else y for x, y in enumerate(one)), at(3), 10 + k, 32.0) for k in range(8)]
+    table = spark.createDataFrame(rows, ddl)
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        query = (
+            running(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")), "t", keys, "v", "id")
+            .writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(120)
+        got = spark.read.parquet(str(tmp_path / "out"))
+        want = running(table, "t", keys, "v", "id")
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(str(r).replace("-0.0", "0.0") for r in want.collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_totals_go_on():
+    """Sums are added one after another, and what is known of a key goes on: no value yet, and a sum that is no number."""
+    frame = lambda *rows: pd.DataFrame(rows, columns=["k", "gl_at", "id", "v"])
+    inf = float("inf")
+    out, totals = _added(frame(("a", 2, 1, 0.2), ("a", 1, 1, 0.1), ("b", 1, 1, inf), ("b", 2, 1, -inf), (None, 1, 1, None)), None, ["k"], "id", "v")
+    assert out.query("k == 'a'")["cumsum"].tolist() == [0.1, 0.1 + 0.2]
+    out, totals = _added(frame(("a", 3, 1, 0.3), ("b", 3, 1, 1.0), (None, 2, 1, 5.0)), totals, ["k"], "id", "v")
+    assert out.query("k == 'a'")[["cumsum", "count", "cummax", "cummin"]].values.tolist() == [[0.1 + 0.2 + 0.3, 3, 0.3, 0.1]]
+    assert out.query("k == 'b'")["cumsum"].isna().all() and out.query("k == 'b'")["count"].tolist() == [3]
+    assert out[out["k"].isna()][["cumsum", "count"]].values.tolist() == [[5.0, 1]] and out[out["k"].isna()]["diff"].isna().all()
+    assert len(totals) == 3
