@@ -1,9 +1,13 @@
 """What Python makes counts as small in a plan: joins must not send it through the driver."""
 
+import glob
+
 import numpy as np
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
+from gridloom import storage
 from gridloom.arrays import Array, grid
 from gridloom.operators import blocked, leading, numeric, tiles
 from gridloom.operators.random import Generator
@@ -76,3 +80,38 @@ def test_products_by_blocks(spark, monkeypatch, m):
     a, b = rng.normal(size=(40, m)), rng.normal(size=(m, 50))
     cells = lambda x: Array(spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(x)], "i0 bigint, i1 bigint, v double"), x.shape)
     np.testing.assert_allclose(tiles.matmul(cells(a), cells(b), 8).collect(), a @ b, atol=1e-12)
+
+
+def test_minima_are_made_as_tiles(spark):
+    """The tiles hold what the elements hold, and no element of the matrix is shuffled to make them."""
+    sf = "/root/testdata/sf0.001"
+    matrix, n, tile = factors.minima_tiles(spark, sf, True)
+    got = tiles.from_tiles(matrix, (n, n), tile).collect()
+    np.testing.assert_array_equal(got, factors.minima(spark, sf, True).collect())
+    assert "least" not in plan(matrix)
+
+
+def test_steps_do_not_shuffle_the_matrix(spark, monkeypatch):
+    """However long a column of tiles is; and a file has few tiles, as a reader may hold all of it."""
+    monkeypatch.setattr(storage, "SENT", 0)
+    monkeypatch.setattr(blocked, "FILE", 2 * 8 * 8 * 8, raising=False)
+    x = np.random.default_rng(5).normal(size=(40, 40))
+    x = x @ x.T + 40 * np.eye(40)
+    a = Array(spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(x)], "i0 bigint, i1 bigint, v double"), x.shape)
+    before = set(glob.glob(f"{storage.shared_dir(spark)}/*"))
+    np.testing.assert_allclose(blocked.slogdet(a, 8), np.linalg.slogdet(x))
+    np.testing.assert_allclose(blocked.cholesky(a, 8).collect(), np.linalg.cholesky(x), atol=1e-12)
+    made = set(glob.glob(f"{storage.shared_dir(spark)}/*")) - before
+    files = [f for d in made for f in glob.glob(f"{d}/**/*.parquet", recursive=True)]
+    assert len(files) > 20 and max(parquet.read_metadata(f).num_rows for f in files) <= 2
+    now = stored(blocked._complete(tiles.to_tiles(a, 8), 5, 5, 8), "tiles")
+    free, lower = np.arange(40) >= 8, f"{storage.shared_dir(spark)}/lower"
+    assert "Exchange" not in plan(blocked._step(now, 0, blocked._factor(x[:8, :8])[1], free, 8, f"{storage.shared_dir(spark)}/upper", lower))
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(6)
+    for x in (np.zeros((4, 4)), rng.normal(size=(4, 4)), np.ones((64, 32)), np.arange(2048.0).reshape(64, 32)):
+        np.testing.assert_array_equal(tiles.unpacked(tiles.packed(x), *x.shape), x)
+        np.testing.assert_array_equal(tiles.unpacked(x.tobytes(), *x.shape), x)
+    assert tiles.packed(np.zeros((4, 4))) == b"" and len(tiles.packed(np.ones((64, 32)))) < 200
