@@ -115,3 +115,10 @@ def test_packed_arrays():
         np.testing.assert_array_equal(tiles.unpacked(tiles.packed(x), *x.shape), x)
         np.testing.assert_array_equal(tiles.unpacked(x.tobytes(), *x.shape), x)
     assert tiles.packed(np.zeros((4, 4))) == b"" and len(tiles.packed(np.ones((64, 32)))) < 200
+
+
+def test_blocks_of_products_are_as_large_as_memory_allows():
+    """360,000 rows of 100 columns in tiles of 32: eight blocks a side, so operands are copied eight times, not 88."""
+    rows = -(-360_000 // 32)
+    assert -(-rows // tiles.block_edge(rows, 4, rows, 32)) == 8
+    assert tiles.block_edge(10**6, 10**6, 10**6, 32) * 8 * 32 * 32 * tiles.STRETCH <= tiles.HELD
