@@ -1,11 +1,14 @@
 """Blocked factorisations and leading pairs against NumPy."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from gridloom.arrays import Array
-from gridloom.operators import blocked, leading, linalg
+from gridloom.operators import blocked, leading, linalg, tiles
+from gridloom.storage import shared_dir
 
 
 def cells(spark, x):
@@ -71,6 +74,25 @@ def test_singular_and_sparse(spark):
         blocked.inv(cells(spark, np.ones((2, 3))), 8)
 
 
+def test_substitution_keeps_zeros(spark):
+    """The inverse of a matrix of minima has three diagonals: its other tiles are zero, and cost no bytes, as does a right side of zeros."""
+    n, tile = 24, 8
+    total = np.cumsum(1 + np.arange(n) % 7 / 4.0)
+    x = np.minimum(total[:, None], total)[::-1]
+    np.testing.assert_allclose(dense(blocked.inv(cells(spark, x), tile)), np.linalg.inv(x), atol=1e-12)
+    every = blocked._complete(tiles.to_tiles(cells(spark, x), tile), 3, 3, tile)
+    kept = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    _, sign, _ = blocked._eliminated(every, n, 4, tile, kept)  # room for right sides
+    assert abs(sign) == 1
+    upper = np.zeros((n, n))
+    for r in spark.read.schema("ti bigint, tj bigint, data binary").parquet(kept).collect():
+        upper[r["ti"] * tile :, r["tj"] * tile :][:tile, :tile] = tiles.unpacked(bytes(r["data"]), tile, tile)
+    assert not np.tril(upper, -1).any()
+    np.testing.assert_allclose(np.abs(np.diag(upper)).prod(), np.abs(np.linalg.det(x)), rtol=1e-9)
+    zero = Array(spark.range(n).selectExpr("id AS i0", "0.0D AS v"), (n,))
+    np.testing.assert_array_equal(dense(blocked.solve(cells(spark, x), zero, tile)), np.zeros(n))
+
+
 def test_leading_eigenpairs(spark):
     """Both signs, a million elements, and a matrix of zeros."""
     rng = np.random.default_rng(4)
